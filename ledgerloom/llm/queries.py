@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.simhash import simhash_components
 from ledgerloom.llm.url_filter import filter_urls, rules_table
 
 URL_RULES = [
@@ -29,6 +30,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under SimHash links."""
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
@@ -39,6 +45,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
 }
 
