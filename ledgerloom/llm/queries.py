@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.simhash import simhash_components
+from ledgerloom.llm.substring import remove_repeated_words
 from ledgerloom.llm.suffix import remove_repeats
 from ledgerloom.llm.url_filter import filter_urls, rules_table
 
@@ -44,6 +45,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat an earlier document's."""
+    cut = remove_repeated_words(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat an earlier document's."""
     cut = remove_repeats(_table(spark, sf_dir, "documents"))
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 

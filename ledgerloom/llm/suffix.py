@@ -32,70 +32,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import spans
 from ledgerloom.llm.spans import NONE, U
+from ledgerloom.llm.tokens import batch_segments, gathered, grams, read, text_bytes
 from ledgerloom.plans import materialize
 
 GRAM = 16
-#: Tokens worked on at a time; longer texts are cut with an overlap.
-PIECE = 1 << 20
 #: Entries of one anchor that a batch sends; beyond, all are refined to the full depth.
 CROWD = 64
 _ENTRY = np.dtype([("anchor", "<u4"), ("d0", "<u4"), ("d1", "<u2"), ("left", "<u2"), ("right", "<u2"), ("start", "<u4"), ("count", "u1"), ("tied", "u1")])
 _RUN = "doc_id bigint, sum int, start bigint, count int"
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and its offsets, without copying; nulls are empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    bounds = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), bounds.astype(np.int64)
-
-
-def pieces(bounds: np.ndarray, length: int, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of documents of about ``most`` tokens: (document, begin, end) of each.
-
-    A longer document comes in pieces that overlap by ``length - 1``, so each of
-    its windows lies in one piece.
-    """
-    group: list[tuple[int, int, int]] = []
-    held = 0
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        if b - a < length:
-            continue
-        while b - a > 2 * most:
-            yield np.array([i]), np.array([a]), np.array([a + most + length - 1])
-            a += most
-        group.append((i, a, b))
-        held += b - a
-        if held >= most:
-            yield tuple(np.array(group).T)
-            group, held = [], 0
-    if group:
-        yield tuple(np.array(group).T)
-
-
-def _gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.concatenate([[0], np.cumsum(end - begin)])
-    return np.concatenate([data[a:b] for a, b in zip(begin.tolist(), end.tolist())]), offsets
-
-
-def batch_segments(column: pa.Array, length: int, gram: int) -> spans.Segments:
-    """Segments of all texts of an Arrow column; ``doc`` is the row."""
-    data, bounds = text_bytes(column)
-    parts = []
-    for doc, begin, end in pieces(bounds, length):
-        part, offsets = _gathered(data, begin, end)
-        found = spans.segments(spans.byte_grams(part, gram), offsets, gram, length)
-        found.start = found.start + (begin - bounds[doc])[found.doc]
-        found.doc = doc[found.doc]
-        parts.append(found)
-    if not parts:
-        return spans.segments(np.empty(0, U), np.zeros(1, np.int64), gram, length)
-    return spans.Segments(*(np.concatenate([getattr(p, k) for p in parts]) for k in spans.Segments.__dataclass_fields__))
-
-
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """Where a sorted run of equal keys begins."""
     new = np.zeros(len(keys[0]), bool)
@@ -168,7 +114,7 @@ def _entries(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sums = _batch_ids(batch)
-            s = batch_segments(batch.column(2), length, GRAM)
+            s = batch_segments(batch.column(2), length, GRAM, "bytes")
             s = s.take(np.lexsort((ids[s.doc], s.digest, s.anchor)))
             owner = ids[s.doc]
             equal = _groups(s.anchor, s.digest)
@@ -246,11 +192,11 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _WINDOW = np.dtype([("key", "<u4"), ("rest", "<u2"), ("start", "<u4")])
 
 
-def _windows(length: int, buckets: int):
+def _windows(length: int, buckets: int, unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sums = _batch_ids(batch)
-            data, bounds = text_bytes(batch.column(2))
+            data, bounds = read(batch.column(2), unit)
             runs = batch.column(3)
             starts, counts = (np.asarray(runs.flatten().field(i)) for i in (0, 1))
             row = np.repeat(np.arange(len(ids)), np.asarray(runs.value_lengths()))
@@ -260,9 +206,9 @@ def _windows(length: int, buckets: int):
             for lo in range(0, len(row), 1 << 14):
                 r, s, c = row[lo : lo + (1 << 14)], starts[lo : lo + (1 << 14)], counts[lo : lo + (1 << 14)]
                 begin = bounds[r] + s
-                part, offsets = _gathered(data, begin, begin + c + length - 1)
+                part, offsets = gathered(data, begin, begin + c + length - 1)
                 at = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                hashes.append(spans.window_hashes(spans.byte_grams(part, GRAM), at, GRAM, length))
+                hashes.append(spans.window_hashes(grams(part, GRAM, unit), at, GRAM, length))
                 docs.append(np.repeat(r, c))
                 where.append(at - np.repeat(offsets[:-1], c) + np.repeat(s, c))
             if not hashes:
@@ -307,17 +253,25 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     packed = "bucket int, payload binary"
     first = known.mapInArrow(_entries(length, buckets), packed).repartition(parts, "bucket").mapInArrow(_refine, _RUN)
     first = materialize(first, "runs")
-    open_runs = (
-        first.where("count < 0").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    )
-    again = (
-        known.join(open_runs, ["doc_id", "sum"])
+    return first.where("count > 0").unionAll(repeated_windows(known, first.where("count < 0"), length, "bytes"))
+
+
+def repeated_windows(docs: DataFrame, runs: DataFrame, length: int, unit: str) -> DataFrame:
+    """The windows of ``runs`` that also start, in ``runs``, in a smaller id.
+
+    ``docs`` has ``doc_id``, ``sum`` and ``text``; ``runs`` has ``doc_id``,
+    ``sum``, ``start`` and ``count``, negative.  Windows are compared one by one.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(4 * parts, 1 << 15)
+    asked = runs.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    return (
+        docs.join(asked, ["doc_id", "sum"])
         .select("doc_id", "sum", "text", "runs")
-        .mapInArrow(_windows(length, buckets), packed)
+        .mapInArrow(_windows(length, buckets, unit), "bucket int, payload binary")
         .repartition(parts, "bucket")
         .mapInArrow(_settle, _RUN)
     )
-    return first.where("count > 0").unionAll(again)
 
 
 def keep_mask(size: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
