@@ -12,6 +12,7 @@ from ledgerloom.llm.simhash import simhash_components
 from ledgerloom.llm.substring import remove_repeated_words
 from ledgerloom.llm.suffix import remove_repeats
 from ledgerloom.llm.url_filter import filter_urls, rules_table
+from ledgerloom.llm.warc import audit, leaves, warc_record
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -45,6 +46,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose record is damaged in a replica of the archive.
+
+    The replica's damage is a fixture: a page whose payload digest begins with
+    0 has one byte more at its end there.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    whole = F.coalesce("html", F.lit(""))
+    hurt = F.when(F.sha2(whole, 256).startswith("0"), F.concat(whole, F.lit("\n"))).otherwise(whole)
+    first, second = (
+        leaves(pages.select("page_id", "url", warc_record(F.col("url"), html).alias("record"), whole.alias("h")),
+               "page_id", "record", F.concat_ws(" ", F.coalesce("url", F.lit("")), F.sha2("h", 256)))
+        for html in (whole, hurt)
+    )
+    return audit(first, second).select(F.col("id").alias("page_id"), "begin", "end", "left_hash", "right_hash")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat an earlier document's."""
     cut = remove_repeated_words(_table(spark, sf_dir, "documents"))
@@ -61,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op5_warc_audit": op5_warc_audit,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
@@ -80,5 +99,21 @@ fit as (
   from (select distinct host, path from parts) join rules
     on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
 select page_id, p.host, p.path, rule, coalesce(rv, 'allow') as verdict from parts p left join fit f on p.host = f.host and p.path = f.path
+""",
+    "op5_warc_audit": r"""
+with rec as (
+  select page_id, coalesce(url, '') as u, coalesce(html, '') as h, sha256(coalesce(html, '')) as d from pages),
+full_rec as (
+  select *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u as head,
+         chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' as mid,
+         chr(13) || chr(10) || chr(13) || chr(10) as gap from rec),
+both_rec as (
+  select page_id, u, d, head || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || d || mid || strlen(h) || gap || h || gap as a,
+         head || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(h || chr(10)) || mid || strlen(h || chr(10)) || gap || h || chr(10) || gap as b
+  from full_rec),
+placed as (
+  select *, sum(strlen(a)) over (partition by floor(page_id / 4096.0) order by page_id, u || ' ' || d rows unbounded preceding) as stop from both_rec)
+select page_id, cast(stop - strlen(a) as bigint) as begin, cast(stop as bigint) as "end", sha256(a) as left_hash, sha256(b) as right_hash
+from placed where d like '0%'
 """,
 }
