@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.embed_dedup import near_duplicate_vectors
+from ledgerloom.llm.html_extract import extract_text
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.simhash import simhash_components
 from ledgerloom.llm.substring import remove_repeated_words
@@ -75,6 +77,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding within its label."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -82,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_audit": op5_warc_audit,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,5 +129,19 @@ placed as (
   select *, sum(strlen(a)) over (partition by floor(page_id / 4096.0) order by page_id, u || ' ' || d rows unbounded preceding) as stop from both_rec)
 select page_id, cast(stop - strlen(a) as bigint) as begin, cast(stop as bigint) as "end", sha256(a) as left_hash, sha256(b) as right_hash
 from placed where d like '0%'
+""",
+    "op8_embedding_dedup": """
+with recursive ok as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from ok a join ok b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(x, y) as (select vec_id, vec_id from ok union select r.x, l.y from reach r join links l on r.y = l.x)
+select e.vec_id, (select count(*) from links where x = e.vec_id) as n_links,
+  coalesce((select min(y) from reach where x = e.vec_id), e.vec_id) as component_id,
+  e.vec_id = coalesce((select min(y) from reach where x = e.vec_id), e.vec_id) as kept
+from embeddings e
 """,
 }
