@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.embed_dedup import near_duplicate_vectors
 from ledgerloom.llm.html_extract import extract_text
+from ledgerloom.llm.langid import identify
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.simhash import simhash_components
 from ledgerloom.llm.substring import remove_repeated_words
@@ -82,6 +83,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_language_id": op9_language_id,
     "op10_html_extract": op10_html_extract,
 }
 
