@@ -77,8 +77,9 @@ class Segments:
     count: np.ndarray  # of windows, at most ``length - gram + 1``
     anchor: np.ndarray
     digest: np.ndarray  # of all tokens that the windows cover
-    left: np.ndarray  # 16 bits of the gram that ends where the anchor begins, or NONE
-    right: np.ndarray  # 16 bits of the gram that begins where the anchor ends, or NONE
+    place: np.ndarray  # of the anchor, from ``start``
+    left: np.ndarray  # 12 bits of the gram that ends where the anchor begins, or NONE
+    right: np.ndarray  # 12 bits of the gram that begins where the anchor ends, or NONE
     tied: np.ndarray  # whether the anchor stands there more than once
 
     def take(self, at: np.ndarray) -> Segments:
@@ -86,7 +87,7 @@ class Segments:
 
 
 #: Mark of a context that a document's edge cuts off.
-NONE = np.uint16(0xFFFF)
+NONE = 0xFFF
 _LOW = U(63)
 
 
@@ -111,7 +112,7 @@ def segments(grams: np.ndarray, offsets: np.ndarray, gram: int, length: int) ->
     sizes = np.diff(offsets)
     if n < length or not (sizes >= length).any():
         none, word, short = np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.uint16)
-        return Segments(none, none, none, word, word, short, short, short.astype(bool))
+        return Segments(none, none, none, word, word, none, short, short, short.astype(bool))
     place = np.arange(n, dtype=U) & _LOW
     high = grams & ~_LOW
     least = _sliding_least(high | place, width)
@@ -147,8 +148,8 @@ def segments(grams: np.ndarray, offsets: np.ndarray, gram: int, length: int) ->
     ]
     tied = (same[0] != at) | (same[1] != at) | (same[2] != at)
     before, behind = at - gram, at + gram
-    left = np.where(before >= offsets[doc], (grams[np.maximum(before, 0)] >> U(40)).astype(np.uint16), NONE)
+    left = np.where(before >= offsets[doc], ((grams[np.maximum(before, 0)] >> U(40)) % U(NONE)).astype(np.uint16), NONE)
     right = np.where(
-        behind + gram <= offsets[doc + 1], (grams[np.minimum(behind, n - 1)] >> U(40)).astype(np.uint16), NONE
+        behind + gram <= offsets[doc + 1], ((grams[np.minimum(behind, n - 1)] >> U(40)) % U(NONE)).astype(np.uint16), NONE
     )
-    return Segments(doc, starts - offsets[doc], count, value[starts], digest, left, right, tied)
+    return Segments(doc, starts - offsets[doc], count, value[starts], digest, at - starts, left, right, tied)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.suffix import keep_mask, repeated_windows
+from ledgerloom.llm.suffix import NO_ID, keep_mask, repeated_windows, with_key
 from ledgerloom.llm.tokens import batch_segments
 from ledgerloom.plans import materialize
 
@@ -68,12 +68,11 @@ def _paths(repeated: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """Spans of windows that also start in a document of smaller id.
 
-    ``docs`` holds ``doc_id`` (bigint), ``sum`` (int, tells apart rows of one
-    id) and ``text``.  Returns ``doc_id``, ``sum``, ``start`` (word), ``count``
+    ``docs`` comes from :func:`ledgerloom.llm.suffix.with_key`.  Returns ``doc_id``, ``sum``, ``start`` (word), ``count``
     (windows), ``path``, ``source_id`` and ``source_start``; the last three are
     null for windows that were compared one by one.
     """
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "sum", "text")
+    known = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
     edges = materialize(
         known.mapInArrow(
             _edges(length),
@@ -116,8 +115,11 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         .select("doc_id", "sum", F.col("x.start").cast("bigint").alias("start"), F.col("x.count").alias("count"), "path", "source_id",
                 (F.col("x.start") - F.col("step")).cast("bigint").alias("source_start"))
     )
-    asked = walks.where("doc_id = first and branching").select("doc_id", "sum", F.col("start").cast("bigint").alias("start"), (-F.col("count")).alias("count"))
-    single = repeated_windows(known, asked, length, "words")
+    number = F.col("start").cast("bigint") * 256
+    asked = walks.where("doc_id = first and branching").select("doc_id", "sum", (number + 128 + F.col("count")).alias("run"))
+    single = repeated_windows(docs, asked, length, "words").select(
+        "doc_id", "sum", F.shiftright("run", 8).alias("start"), F.col("run").bitwiseAND(127).cast("int").alias("count")
+    )
     return spans.unionByName(single, allowMissingColumns=True)
 
 
@@ -167,14 +169,11 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same result.  A row with a null id is kept whole and removes nothing.  Ids
     are integers.  An empty table gives an empty table.
     """
-    base = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.hash(F.col(text_col)).alias("sum"),
-        F.col(text_col).cast("string").alias("text"),
-    )
+    base = with_key(docs, id_col, text_col)
     runs = repeated_spans(base, length).groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     joined = base.join(runs, ["doc_id", "sum"], "left").select("doc_id", "sum", "text", "runs")
-    return joined.mapInArrow(
+    cut = joined.mapInArrow(
         _cut(length),
         "doc_id bigint, sum int, n_words bigint, n_removed bigint, runs array<struct<start:bigint,count:int>>, kept string, kept_sha256 string",
     )
+    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -36,10 +36,16 @@ from ledgerloom.llm.tokens import batch_segments, gathered, grams, read, text_by
 from ledgerloom.plans import materialize
 
 GRAM = 16
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 #: Entries of one anchor that a batch sends; beyond, all are refined to the full depth.
 CROWD = 64
-_ENTRY = np.dtype([("anchor", "<u4"), ("d0", "<u4"), ("d1", "<u2"), ("left", "<u2"), ("right", "<u2"), ("start", "<u4"), ("count", "u1"), ("tied", "u1")])
-_RUN = "doc_id bigint, sum int, start bigint, count int"
+#: A run of windows as one number: start, one bit for "to be refined", windows.
+_RUN = "doc_id bigint, sum int, run bigint"
+#: Bytes of an entry's columns: anchor, digest, neighbours, place and size, start.
+_ENTRY = (3, 5, 3, 2, 4)
+#: The same of a window: its hash, start.
+_WINDOW = (7, 4)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -57,41 +63,60 @@ def _first_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-def _pack(ids: np.ndarray, sums: np.ndarray, doc: np.ndarray, body: np.ndarray, done: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
-    """Documents, entries and runs already known to be removed, column by column."""
-    used, index = np.unique(np.concatenate([doc, done[0]]), return_inverse=True)
-    columns = [np.array([len(used), len(doc), len(done[0])], "<i8"), ids[used], sums[used], index.astype("<u4")]
-    columns += [np.ascontiguousarray(body[k]) for k in body.dtype.names]
-    columns += [done[1].astype("<u4"), done[2].astype("u1")]
-    return b"".join(c.tobytes() for c in columns)
+def _planes(x: np.ndarray, size: int) -> np.ndarray:
+    """The low ``size`` bytes of each number, byte by byte, which packs better."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T
 
 
-def _unpack(blob: bytes, kind: np.dtype) -> tuple:
-    """(ids, sums, entries' document, entries, removed runs' document, start, count)."""
-    n_docs, n, m = np.frombuffer(blob, "<i8", 3).tolist()
-    at = 24
+def _pack(ids: np.ndarray, sums: np.ndarray, doc: np.ndarray, body: list[np.ndarray], widths: tuple, done: tuple) -> bytes:
+    """Documents, entries in their order and runs that are done, column by column.
 
-    def take(dtype: str, count: int) -> np.ndarray:
+    The last column of ``body`` (the start) and the documents are stored as
+    differences.
+    """
+    used, index = np.unique(np.concatenate([doc, done[0]]), return_inverse=True)
+    columns = [ids[used].astype("<i8"), sums[used].astype("<i4")]
+    columns += [_planes(np.diff(x, prepend=0).astype(np.int64), 4) for x in (index[: len(doc)], index[len(doc) :])]
+    columns += [_planes(x, w) for x, w in zip(body[:-1], widths)]
+    columns += [_planes(np.diff(body[-1].astype(np.int64), prepend=0), widths[-1]), _planes(done[1], 6)]
+    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    head = np.array([len(used), len(doc), len(done[0]), len(raw)], "<i8").tobytes()
+    return head + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes, widths: tuple) -> tuple:
+    """(ids, sums) of each entry, its columns, and (ids, sums, run) of what is done."""
+    n_docs, n, m, size = np.frombuffer(blob, "<i8", 4).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[32:], size, asbytes=True), np.uint8)
+    at = 0
+
+    def take(count: int, width: int, signed: bool = False) -> np.ndarray:
         nonlocal at
-        out = np.frombuffer(blob, dtype, count, at)
-        at += out.nbytes
-        return out
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :width] = raw[at : at + count * width].reshape(width, count).T
+        at += count * width
+        out = wide.view("<u8").ravel()
+        return out.astype(np.uint32).view(np.int32).astype(np.int64).cumsum() if signed else out
 
-    ids, sums, index = take("<i8", n_docs), take("<i4", n_docs), take("<u4", n + m)
-    body = np.empty(n, kind)
-    for k in kind.names:
-        body[k] = take(kind[k].str, n)
-    return ids, sums, index[:n], body, index[n:], take("<u4", m), take("u1", m)
+    ids = raw[: 8 * n_docs].view("<i8")
+    sums = raw[8 * n_docs : 12 * n_docs].view("<i4")
+    at = 12 * n_docs
+    mine, over = take(n, 4, True), take(m, 4, True)
+    body = [take(n, w) for w in widths[:-1]] + [take(n, widths[-1], True)]
+    return ids[mine], sums[mine], body, ids[over], sums[over], take(m, 6)
 
 
-def _rows(ids: np.ndarray, sums: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+def _rows(ids: np.ndarray, sums: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids.astype(np.int64)), pa.array(sums.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32))],
-        ["doc_id", "sum", "start", "count"],
+        [pa.array(ids.astype(np.int64)), pa.array(sums.astype(np.int32)), pa.array(run.astype(np.int64))], ["doc_id", "sum", "run"]
     )
 
 
-def _deal(ids: np.ndarray, sums: np.ndarray, bucket: np.ndarray, doc: np.ndarray, body: np.ndarray, done: tuple, buckets: int) -> pa.RecordBatch:
+def _run(start: np.ndarray, count: np.ndarray, refine: bool = False) -> np.ndarray:
+    return (start.astype(np.int64) << 8) + count.astype(np.int64) + (128 if refine else 0)
+
+
+def _deal(ids: np.ndarray, sums: np.ndarray, bucket: np.ndarray, doc: np.ndarray, body: list, widths: tuple, done: tuple, buckets: int) -> pa.RecordBatch:
     """One packed row a bucket; runs that are done go along with any bucket."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -100,7 +125,7 @@ def _deal(ids: np.ndarray, sums: np.ndarray, bucket: np.ndarray, doc: np.ndarray
     for b in range(buckets):
         mine, part = order[cuts[b] : cuts[b + 1]], slice(share[b], share[b + 1])
         if len(mine) or share[b] < share[b + 1]:
-            rows.append((b, _pack(ids, sums, doc[mine], body[mine], tuple(x[part] for x in done))))
+            rows.append((b, _pack(ids, sums, doc[mine], [x[mine] for x in body], widths, tuple(x[part] for x in done))))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"]
     )
@@ -115,38 +140,31 @@ def _entries(length: int, buckets: int):
         for batch in batches:
             ids, sums = _batch_ids(batch)
             s = batch_segments(batch.column(2), length, GRAM, "bytes")
-            s = s.take(np.lexsort((ids[s.doc], s.digest, s.anchor)))
-            owner = ids[s.doc]
-            equal = _groups(s.anchor, s.digest)
-            gone = owner > _first_of(equal, owner) if len(owner) else np.empty(0, bool)
-            done = [(s.doc[gone], s.start[gone], s.count[gone])]
-            s = s.take(~gone)
+            order = np.lexsort((ids[s.doc], s.digest, s.anchor))
+            owner = ids[s.doc[order]]
+            gone = owner > _first_of(_groups(s.anchor[order], s.digest[order]), owner) if len(owner) else np.empty(0, bool)
+            done = [(s.doc[order[gone]], _run(s.start[order[gone]], s.count[order[gone]]))]
+            order = order[~gone]
             # A crowd at one anchor is refined to the full depth; a few stand for it.
-            new = _groups(s.anchor)
+            new = _groups(s.anchor[order])
             rank = np.arange(len(new)) - _first_of(new, np.arange(len(new))) if len(new) else np.empty(0, int)
-            crowd = np.isin(s.anchor, s.anchor[rank >= CROWD])
-            s.tied = s.tied | crowd
             wait = rank >= CROWD
-            done.append((s.doc[wait], s.start[wait], s.count[wait] + 128))
-            s = s.take(~wait)
-            body = np.empty(len(s.doc), _ENTRY)
-            body["anchor"] = (s.anchor >> U(6)) & U(0xFFFFFFFF)
-            body["d0"], body["d1"] = s.digest & U(0xFFFFFFFF), (s.digest >> U(32)) & U(0xFFFF)
-            for k in ("left", "right", "start", "count", "tied"):
-                body[k] = getattr(s, k)
+            s.tied |= np.isin(s.anchor, s.anchor[order[wait]])
+            done.append((s.doc[order[wait]], _run(s.start[order[wait]], s.count[order[wait]], True)))
+            s = s.take(np.sort(order[~wait]))
+            neighbours = s.left.astype(U) | (s.right.astype(U) << U(12))
+            small = s.count.astype(U) | (s.place.astype(U) << U(6)) | (s.tied.astype(U) << U(12))
             bucket = ((s.anchor >> U(38)) % U(buckets)).astype(np.int64)
-            yield _deal(ids, sums, bucket, s.doc, body, tuple(np.concatenate(x) for x in zip(*done)), buckets)
+            body = [s.anchor >> U(6), s.digest, neighbours, small, s.start]
+            yield _deal(ids, sums, bucket, s.doc, body, _ENTRY, tuple(np.concatenate(x) for x in zip(*done)), buckets)
 
     return run
 
 
-def _gather(blobs: list[bytes], kind: np.dtype) -> tuple:
-    parts = [_unpack(b, kind) for b in blobs]
-    ids = np.concatenate([p[0][p[2]] for p in parts])
-    sums = np.concatenate([p[1][p[2]] for p in parts])
-    body = np.concatenate([p[3] for p in parts])
-    done = [np.concatenate(x) for x in zip(*((p[0][p[4]], p[1][p[4]], p[5], p[6].astype(np.int32)) for p in parts))]
-    return ids, sums, body, done
+def _gather(blobs: list[bytes], widths: tuple) -> tuple:
+    parts = [_unpack(b, widths) for b in blobs]
+    joined = [np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5)]
+    return joined[0], joined[1], [np.concatenate(x) for x in zip(*(p[2] for p in parts))], joined[2:]
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
@@ -165,31 +183,36 @@ def _shared(new: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return (np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at))[np.cumsum(new) - 1]
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs that repeat (count > 0) and runs to refine further (count < 0)."""
-    held = _by_bucket(batches)
-    for b in sorted(held):
-        ids, sums, e, done = _gather(held.pop(b), _ENTRY)
-        yield _rows(done[0], done[1], done[2], np.where(done[3] > 128, 128 - done[3], done[3]))
-        if not len(e):
-            continue
-        digest = e["d0"].astype(U) | (e["d1"].astype(U) << U(32))
-        order = np.lexsort((ids, digest, e["anchor"]))
-        ids, sums, e, digest = ids[order], sums[order], e[order], digest[order]
-        gone = ids > _first_of(_groups(e["anchor"], digest), ids)
-        yield _rows(ids[gone], sums[gone], e["start"][gone], e["count"][gone])
-        ids, sums, e = ids[~gone], sums[~gone], e[~gone]
-        new = _groups(e["anchor"])
-        loose = np.maximum.reduceat(e["tied"], np.flatnonzero(new))[np.cumsum(new) - 1] > 0
-        ask = loose & _shared(new, ids)
-        for side in ("left", "right"):
-            order = np.lexsort((ids, e[side], e["anchor"]))
-            near = _shared(_groups(e["anchor"][order], e[side][order]), ids[order]) & (e[side][order] != NONE)
-            ask[order] |= near
-        yield _rows(ids[ask], sums[ask], e["start"][ask], -e["count"][ask].astype(np.int32))
-
-
-_WINDOW = np.dtype([("key", "<u4"), ("rest", "<u2"), ("start", "<u4")])
+def _refine(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _by_bucket(batches)
+        for b in sorted(held):
+            ids, sums, (anchor, digest, near, small, start), done = _gather(held.pop(b), _ENTRY)
+            yield _rows(*done)
+            if not len(ids):
+                continue
+            order = np.lexsort((ids, digest, anchor))
+            ids, sums, anchor, digest, near, small, start = (x[order] for x in (ids, sums, anchor, digest, near, small, start))
+            gone = ids > _first_of(_groups(anchor, digest), ids)
+            yield _rows(ids[gone], sums[gone], _run(start[gone], small[gone] & U(63)))
+            ids, sums, anchor, near, small, start = (x[~gone] for x in (ids, sums, anchor, near, small, start))
+            count, place = (small & U(63)).astype(np.int64), ((small >> U(6)) & U(63)).astype(np.int64)
+            new = _groups(anchor)
+            whole = (np.maximum.reduceat(small >> U(12), np.flatnonzero(new))[np.cumsum(new) - 1] > 0) & _shared(new, ids)
+            alike = []
+            for side in (near & U(0xFFF), near >> U(12)):
+                order = np.lexsort((ids, side, anchor))
+                found = np.empty(len(ids), bool)
+                found[order] = _shared(_groups(anchor[order], side[order]), ids[order]) & (side[order] != NONE)
+                alike.append(found | whole)
+            # A shared window holds the anchor, and the gram before it or the one after:
+            # with only one of them alike, it starts on that side.
+            low = np.where(alike[0], 0, np.maximum(place - GRAM + 1, 0))
+            high = np.where(alike[1], count, np.minimum(place - (length - 2 * GRAM) + 1, count))
+            ask = (alike[0] | alike[1]) & (low < high)
+            yield _rows(ids[ask], sums[ask], _run(start[ask] + low[ask], (high - low)[ask], True))
+
+    return run
 
 
 def _windows(length: int, buckets: int, unit: str):
@@ -198,11 +221,11 @@ def _windows(length: int, buckets: int, unit: str):
             ids, sums = _batch_ids(batch)
             data, bounds = read(batch.column(2), unit)
             runs = batch.column(3)
-            starts, counts = (np.asarray(runs.flatten().field(i)) for i in (0, 1))
+            asked = np.asarray(runs.flatten()).astype(np.int64)
             row = np.repeat(np.arange(len(ids)), np.asarray(runs.value_lengths()))
             hashes, docs, where = [], [], []
-            order = np.lexsort((starts, row))
-            starts, counts, row = starts[order], -counts[order].astype(np.int64), row[order]
+            order = np.lexsort((asked, row))
+            starts, counts, row = asked[order] >> 8, asked[order] & 127, row[order]
             for lo in range(0, len(row), 1 << 14):
                 r, s, c = row[lo : lo + (1 << 14)], starts[lo : lo + (1 << 14)], counts[lo : lo + (1 << 14)]
                 begin = bounds[r] + s
@@ -215,13 +238,11 @@ def _windows(length: int, buckets: int, unit: str):
                 continue
             h, d, w = (np.concatenate(x) for x in (hashes, docs, where))
             order = np.lexsort((ids[d], h))
-            h, d, w = h[order], d[order], w[order]
-            gone = ids[d] > _first_of(_groups(h), ids[d])
-            done = (d[gone], w[gone], np.ones(gone.sum(), np.int64))
-            h, d, w = h[~gone], d[~gone], w[~gone]
-            body = np.empty(len(h), _WINDOW)
-            body["key"], body["rest"], body["start"] = h & U(0xFFFFFFFF), (h >> U(32)) & U(0xFFFF), w
-            yield _deal(ids, sums, ((h >> U(48)) % U(buckets)).astype(np.int64), d, body, done, buckets)
+            gone = ids[d[order]] > _first_of(_groups(h[order]), ids[d[order]])
+            done = (d[order[gone]], _run(w[order[gone]], np.ones(gone.sum(), np.int64)))
+            rest = np.sort(order[~gone])
+            h, d, w = h[rest], d[rest], w[rest]
+            yield _deal(ids, sums, (spans.mixed(h) % U(buckets)).astype(np.int64), d, [h, w], _WINDOW, done, buckets)
 
     return run
 
@@ -229,42 +250,57 @@ def _windows(length: int, buckets: int, unit: str):
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = _by_bucket(batches)
     for b in sorted(held):
-        ids, sums, e, done = _gather(held.pop(b), _WINDOW)
+        ids, sums, (key, start), done = _gather(held.pop(b), _WINDOW)
         yield _rows(*done)
-        if len(e):
-            key = e["key"].astype(U) | (e["rest"].astype(U) << U(32))
+        if len(ids):
             order = np.lexsort((ids, key))
-            ids, sums, start, key = ids[order], sums[order], e["start"][order], key[order]
+            ids, sums, start, key = ids[order], sums[order], start[order], key[order]
             gone = ids > _first_of(_groups(key), ids)
-            yield _rows(ids[gone], sums[gone], start[gone], np.ones(gone.sum(), np.int64))
+            yield _rows(ids[gone], sums[gone], _run(start[gone], np.ones(gone.sum(), np.int64)))
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``sum`` and ``text``, the first two never null.
+
+    Without nulls Spark adds no filter under a join, so that all joins with the
+    texts share one exchange.  A null id becomes the least bigint; such rows
+    neither lose nor remove anything.
+    """
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
+        F.hash(F.col(text_col)).alias("sum"),
+        F.col(text_col).cast("string").alias("text"),
+    )
 
 
 def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     """Runs of windows that also start in a document of smaller id.
 
-    ``docs`` holds ``doc_id`` (bigint), ``sum`` (int, tells apart rows of one
-    id) and ``text``.  Returns ``doc_id``, ``sum``, ``start`` (byte offset) and
-    ``count`` (windows); every such window is in a run.
+    ``docs`` comes from :func:`with_key`.  Returns ``doc_id``, ``sum`` and
+    ``run``: the byte offset of the first window times 256, plus their number.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(4 * parts, 1 << 15)
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "sum", "text")
-    packed = "bucket int, payload binary"
-    first = known.mapInArrow(_entries(length, buckets), packed).repartition(parts, "bucket").mapInArrow(_refine, _RUN)
-    first = materialize(first, "runs")
-    return first.where("count > 0").unionAll(repeated_windows(known, first.where("count < 0"), length, "bytes"))
+    known = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
+    first = materialize(
+        known.mapInArrow(_entries(length, buckets), "bucket int, payload binary")
+        .repartition(parts, "bucket")
+        .mapInArrow(_refine(length), _RUN),
+        "runs",
+    )
+    refine = F.col("run").bitwiseAND(128) > 0
+    return first.where(~refine).unionAll(repeated_windows(docs, first.where(refine), length, "bytes"))
 
 
 def repeated_windows(docs: DataFrame, runs: DataFrame, length: int, unit: str) -> DataFrame:
     """The windows of ``runs`` that also start, in ``runs``, in a smaller id.
 
     ``docs`` has ``doc_id``, ``sum`` and ``text``; ``runs`` has ``doc_id``,
-    ``sum``, ``start`` and ``count``, negative.  Windows are compared one by one.
+    ``sum`` and ``run``.  Windows are compared one by one.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(4 * parts, 1 << 15)
-    asked = runs.groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    asked = runs.groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
     return (
         docs.join(asked, ["doc_id", "sum"])
         .select("doc_id", "sum", "text", "runs")
@@ -288,8 +324,8 @@ def _cut(length: int):
             data, bounds = text_bytes(batch.column(2))
             runs = batch.column(3)
             lengths = np.asarray(runs.value_lengths().fill_null(0))
-            flat = runs.flatten()
-            starts, counts = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            flat = np.asarray(runs.flatten()).astype(np.int64)
+            starts, counts = flat >> 8, flat & 127
             upto = np.concatenate([[0], np.cumsum(lengths)])
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
             spans_out = []
@@ -329,19 +365,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id and text get the same result.  A row with a null id is kept whole and
     removes nothing.  Ids are integers.  An empty table gives an empty table.
 
-    Two different strings are taken for equal only if 48-bit identifiers agree
-    within one bucket of 32 bits and more.
+    Two different strings are taken for equal only if identifiers of 64 bits and
+    more agree (40 bits within an anchor's bucket of 24 bits and a shuffled one).
     """
-    base = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.hash(F.col(text_col)).alias("sum"),
-        F.col(text_col).cast("string").alias("text"),
-    )
-    runs = repeated_runs(base, length).groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    base = with_key(docs, id_col, text_col)
+    runs = repeated_runs(base, length).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
     joined = base.join(runs, ["doc_id", "sum"], "left").select("doc_id", "sum", "text", "runs")
-    return joined.mapInArrow(
+    cut = joined.mapInArrow(
         _cut(length),
         "doc_id bigint, sum int, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary",
     )
-
-
+    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
