@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.decontaminate import contaminated
 from ledgerloom.llm.embed_dedup import near_duplicate_vectors
 from ledgerloom.llm.html_extract import extract_text
 from ledgerloom.llm.langid import identify
@@ -49,6 +50,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item, with the item and the place."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose record is damaged in a replica of the archive.
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
     "op5_warc_audit": op5_warc_audit,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
