@@ -1 +1 @@
-"""sources of the evidence-ledger engine."""
+"""Sources and sinks: log files, manifests and the log writer."""

@@ -1 +1 @@
-"""streaming of the evidence-ledger engine."""
+"""Structured Streaming over ledgers that are being written."""
