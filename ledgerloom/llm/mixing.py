@@ -19,7 +19,7 @@ from ledgerloom.plans import materialize, release
 #: No document is taken more often.
 MOST = 2
 #: Documents of one cell that are ranked together.
-RANKED = 4096
+RANKED = 256
 #: Sizes up to this are cells of their own; larger ones share 64 to the octave.
 EXACT = 2048
 #: Newton steps at most; the bracket alone gives 15 digits in as many.
@@ -119,7 +119,7 @@ def mix_sources(
     in both are numbered and give the same rows whatever the order.  An empty
     table gives an empty table.
 
-    A window holds at most about 4,096 documents, or the cells of one source:
+    A window holds at most about 256 documents, or the cells of one source:
     at most 2,048 plus 64 for each doubling of the longest text.
     """
     kept = materialize(
@@ -142,7 +142,8 @@ def mix_sources(
         source_targets(sizes, weights, share).withColumn("source_size", F.round("source_size").cast("long")), "targets"
     )
     counted = cells.select("source", "cell", "n", (F.col("words").cast("double") / F.col("n")).alias("x"))
-    lam = _solve(counted.where("x > 0"), targets).select("source", "lam", "mean")
+    # Sums in another order differ in the last digits, which rounding takes off.
+    lam = _solve(counted.where("x > 0"), targets).select("source", F.round("lam", 10).alias("lam"), "mean")
     full = F.expr("case when target >= 2.0 * source_size then 2.0 when target <= 0 then 0.0 end")
     tilted = F.least(F.exp(F.least(F.col("lam") * F.col("x") / F.col("mean"), F.lit(700.0))), F.lit(float(MOST)))
     rated = (

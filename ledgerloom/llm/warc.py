@@ -136,3 +136,9 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         "k.file", "k.place", *(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("id", "begin", "end")),
         F.col("x.hash").alias("left_hash"), F.col("y.hash").alias("right_hash"),
     )
+
+
+def root_hash(levels: list[DataFrame]) -> str | None:
+    """The hash of a tree's root; null for an empty archive."""
+    row = levels[-1].select("hash").first()
+    return row and row[0]
