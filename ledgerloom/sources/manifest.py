@@ -28,6 +28,9 @@ class Entry:
 
     @classmethod
     def gitlink(cls, path: str, oid: str) -> Entry:
+        """A commit of another repository, by its object name in hex."""
+        if len(oid) not in (40, 64) or set(oid) - set("0123456789abcdef"):
+            raise ValueError("not an object name")
         return cls(path, "160000", sha256(oid.encode()).hex())
 
 
@@ -37,10 +40,11 @@ def manifest_hash(entries: list[Entry]) -> bytes | None:
     return canonical_hash(table) if len(table) == len(entries) else None
 
 
-def scan(root: str) -> list[Entry]:
+def scan(root: str, gitlinks: dict[str, str] | None = None) -> list[Entry]:
     """Entries of a tree, without ``.git``; links are not followed.
 
-    A name that is not UTF-8 is an error.  Files are read a mebibyte at a time.
+    ``gitlinks`` maps folders of other repositories to their commits; they are
+    entries of their own and not walked.  A name that is not UTF-8 is an error.  Files are read a mebibyte at a time.
     """
     found: list[Entry] = []
     todo = [""]
@@ -52,7 +56,9 @@ def scan(root: str) -> list[Entry]:
             if item.is_symlink():
                 found.append(Entry.symlink(path, os.fsencode(os.readlink(item.path))))
             elif item.is_dir():
-                if name != ".git":
+                if path in (gitlinks or {}):
+                    found.append(Entry.gitlink(path, gitlinks[path]))
+                elif name != ".git":
                     todo.append(path)
             else:
                 digest = hashlib.sha256()
