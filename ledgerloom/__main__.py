@@ -1,4 +1,4 @@
-"""``python -m ledgerloom``: validate receipts, query logs, make rules.
+"""``python -m ledgerloom``: validate receipts, query and write logs, make rules.
 
 Exit codes: 0 clean, 1 invalid, 2 tainted, 3 a required profile is not met, 64
 usage, 65 unusable data, 66 no input.  Invalid goes before a profile, a profile
@@ -13,11 +13,12 @@ import sys
 from typing import Any
 
 from ledgerloom.functions import ed25519
-from ledgerloom.functions.canonical import dumps, unhex
+from ledgerloom.functions.canonical import dumps, loads, unhex
 from ledgerloom.functions.records import Rules
 from ledgerloom.functions.schemas import AUTHOR_TYPES, Dialect
 from ledgerloom.operators.receipts import Limits, Profiles, Queries, QueryError, Report, _report_row, open_receipt, validate
 
+ADD = ("request", "requirement", "candidate", "evaluate", "select", "retract")
 QUERIES = ("descent", "descendants", "siblings", "frontier", "standing", "evidence", "selected", "lineage")
 
 
@@ -55,6 +56,45 @@ def lineage(q: Queries, x: bytes) -> dict[str, Any]:
     }
 
 
+def _hashes(value: Any) -> Any:
+    """The same value with hex of 32 bytes read as bytes and lists as tuples."""
+    if isinstance(value, str):
+        return unhex(value) or value
+    return tuple(map(_hashes, value)) if isinstance(value, list) and all(isinstance(x, str) for x in value) else value
+
+
+def _write(args: argparse.Namespace, dialect: Dialect) -> int:
+    from ledgerloom.sources.authoring import Author
+    from ledgerloom.sources.frames import FrameError
+    from ledgerloom.sources.writer import LogError, LogWriter, export
+
+    try:
+        with open(args.rules, "rb") as f:
+            rules = Rules.read(loads(f.read()))
+    except OSError:
+        return 66
+    except ValueError:
+        return 65
+    try:
+        seed = unhex(getattr(args, "seed", None))
+        with LogWriter(args.log, rules, dialect, seeds={args.actor: seed} if seed else None) as writer:
+            if args.verb == "export":
+                sys.stdout.write(export(writer).decode())
+                return 0
+            thread, given = unhex(args.thread), json.loads(args.args)
+            if thread is None or not isinstance(given, dict):
+                return 64
+            done = getattr(Author(writer, args.actor, args.role, thread), args.record)(**{k: _hashes(v) for k, v in given.items()})
+    except (TypeError, ValueError) as e:
+        print(json.dumps({"error": str(e)}))
+        return 65 if isinstance(e, FrameError) else 64
+    except LogError as e:
+        print(json.dumps({"error": str(e)}))
+        return 65
+    print(json.dumps({"id": done.id.hex(), "time": done.time, "result": done.result, "reason": done.reason}))
+    return 0 if done.reason is None else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="ledgerloom", exit_on_error=False)
     parser.add_argument("--namespace", default="ledgerloom", help="prefix of the schema names that the ledger hashes")
@@ -73,6 +113,17 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--role", action="append", default=[], metavar="ACTOR=TYPE")
     r.add_argument("--admin", action="append", default=[])
     r.add_argument("--max-context", type=int, default=100)
+    for verb in ("add", "export"):
+        w = verbs.add_parser(verb)
+        w.add_argument("--log", required=True, help="folder of the log")
+        w.add_argument("--rules", required=True, help="file of the rules")
+        if verb == "add":
+            w.add_argument("record", choices=ADD)
+            w.add_argument("--actor", required=True)
+            w.add_argument("--role", required=True, choices=AUTHOR_TYPES)
+            w.add_argument("--thread", required=True, help="64 hex digits")
+            w.add_argument("--seed", help="signing seed, 64 hex digits")
+            w.add_argument("--args", default="{}", help="the method's arguments as JSON; ids and hashes in hex")
     k = verbs.add_parser("key")
     k.add_argument("seed", help="64 hex digits")
     try:
@@ -93,6 +144,8 @@ def main(argv: list[str] | None = None) -> int:
             return 65
         print(ed25519.public_key(seed).hex())
         return 0
+    if args.verb in ("add", "export"):
+        return _write(args, dialect)
     try:
         with open(args.receipt, "rb") as f:
             data = f.read(getattr(args, "max_size", Limits.max_bytes) + 1)

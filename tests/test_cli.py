@@ -51,3 +51,26 @@ def test_checkpoints(log):  # noqa: F811
         TrustedCheckpoint(trusted.checkpoint, rules.hash())
     with pytest.raises(ValueError):
         TrustedCheckpoint.from_verified_log(records[:3], rules, D)
+
+
+def test_cli_writes_a_log(tmp_path, capsys):
+    def run(*a):
+        code = main(["--namespace", "example", *map(str, a)])
+        out = capsys.readouterr().out
+        return code, out
+
+    code, text = run("rules", "--role", "human=User", "--role", "agent=Provider")
+    (tmp_path / "rules.json").write_text(text)
+    at = ("--log", tmp_path / "log", "--rules", tmp_path / "rules.json")
+    by = lambda who, role: (*at, "--actor", who, "--role", role, "--thread", "02" * 32)
+    code, out = run("add", "request", *by("human", "User"), "--args", json.dumps({"objective": "o", "scope": "0a" * 32}))
+    request = json.loads(out)["id"]
+    code, out = run("add", "candidate", *by("agent", "Provider"), "--args", json.dumps({"tree": "ab" * 20, "request": request}))
+    assert (code, json.loads(out)["time"]) == (0, 3)
+    code, out = run("add", "retract", *by("human", "User"), "--args", json.dumps({"target": json.loads(out)["id"], "reason": "r"}))
+    assert (code, json.loads(out)["reason"]) == (1, "AuthorRoleInvalid")
+    assert run("add", "request", *by("human", "User"), "--args", "{}")[0] == 64
+    code, out = run("export", *at)
+    (tmp_path / "r.json").write_text(out)
+    assert code == 0 and run("validate", tmp_path / "r.json")[0] == 0
+    assert run("export", "--log", tmp_path / "log", "--rules", tmp_path / "none")[0] == 66
