@@ -24,9 +24,9 @@ def lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = _read(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     numbered = orders.select(F.col("o_custkey").alias("log_id"), F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority", n.alias("n"))
-    # Order n div 2 stands n - n div 2 rows before: an array of the log's ids gives it without a self join.
-    before = F.collect_list("id").over(Window.partitionBy("log_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    cand = numbered.withColumn("parent_order", F.when(F.col("n") > 1, F.element_at(before, F.floor(F.col("n") / 2).cast("int"))))
+    # Order n div 2 of the same log, by an equi-join: one key holds one order.
+    older = numbered.select(F.col("log_id").alias("l"), F.col("n").alias("half"), F.col("id").alias("parent_order"))
+    cand = numbered.join(older, (F.col("log_id") == F.col("l")) & (F.floor(F.col("n") / 2) == F.col("half")), "left").drop("l", "half")
     bad = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.10)
     evals = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_discount").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.count("*").alias("n_eval"), F.count_if(bad).alias("n_ret")
