@@ -36,7 +36,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float) -
 
     Sources in order of code points, null last, take ``weights`` in turn.  The
     targets add up to ``share`` times all sizes, none above twice its source's
-    size; what is cut off goes to the others by weight.  ``sizes`` holds
+    size; what is cut off goes to the others by weight.  Numbering sources and
+    finding the level takes one task with a row a source.  ``sizes`` holds
     ``source``, ``size`` and ``n`` (documents); the result is the row of the
     water level at which that holds.
     """
