@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.plans import materialize
+from ledgerloom.plans import materialize, release
 
 SEED = 42
 _DIGEST = xxhash.xxh64_intdigest
@@ -193,6 +193,9 @@ def near_duplicates(
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     roots = connected_components(pairs.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint"), "a", "b")
+    # The components are written by now: pairs and texts have served.
+    release(links)
+    release(needed)
     joined = nodes.join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     named = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(joined.join(named, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
