@@ -23,6 +23,10 @@ from ledgerloom.llm.components import connected_components
 from ledgerloom.plans import materialize, release
 
 SEED = 42
+#: Groups of more texts than this begin as stars.
+SMALL = 16
+#: Pairs at 0.8 or more differ in less than a fifth of their bits, unlike ones in half.
+FAR = 0.3
 _DIGEST = xxhash.xxh64_intdigest
 
 
@@ -61,6 +65,15 @@ def _remixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def majorities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` fingerprints of the same shingles, by :func:`majority`."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        block = np.stack([_remixed(hashes[at : at + 255], salt) for salt in range(words)], axis=1)
+        ones += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int = 1) -> DataFrame:
     """``doc_id`` and the array ``fps`` of ``words`` 64-bit fingerprints."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -132,56 +145,187 @@ def simhash_components(
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(
+def _prints(shingle: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, sizes, found = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                fps = majorities(hashes, words)
+                same.append(xxhash.xxh3_128_digest(fps.tobytes()))
+                sizes.append(len(np.unique(hashes)))
+                found.append(fps.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "sum", "same", "size", "fps"],
+            )
+
+    return run
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers byte by byte, which packs better."""
+    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _spread(tables: int, bits: int, half: int, split: int):
+    """Balls of all keys: one packed row a table and part of its variants."""
+    masks = np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(bits), k)], np.uint64)
+
+    def packed(mine: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> bytes:
+        used, index = np.unique(mine & np.uint64(0xFFFF), return_inverse=True)
+        used = used.astype(np.int64)
+        variant = (mine >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+        raw = _planes(np.diff(variant, prepend=np.uint64(0)), "<u4") + _planes(index, "<u2")
+        raw += _planes(np.diff(node[used], prepend=0), "<i8") + _planes(size[used], "<i4") + _planes(root[used] - node[used], "<i8")
+        return np.array([len(mine), len(used), len(raw)], "<i8").tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1 << 14):
+                batch = whole.slice(low, 1 << 14)
+                node, size, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                words = np.asarray(batch.column(3).flatten()).view(np.uint64).reshape(len(node), -1)
+                rows = []
+                for t in range(tables):
+                    key = (words[:, t // 2] >> np.uint64(32 * (t % 2))) & np.uint64((1 << bits) - 1)
+                    variant = (key[:, None] ^ masks).ravel()
+                    part = ((variant * np.uint64(0x9E3779B1)) >> np.uint64(16)) % np.uint64(split)
+                    at = np.repeat(np.arange(len(node), dtype=np.uint64), len(masks))
+                    entry = np.sort((part << np.uint64(48)) | (variant << np.uint64(16)) | at)
+                    cuts = np.searchsorted(entry, np.arange(split + 1, dtype=np.uint64) << np.uint64(48))
+                    rows += [(t * split + p, packed(entry[cuts[p] : cuts[p + 1]], node, size, root)) for p in range(split) if cuts[p] < cuts[p + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"]
+                )
+
+    return run
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Variant, node, size and root of every entry."""
+    n, m, length = np.frombuffer(blob, "<i8", 3).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[24:], length, asbytes=True), np.uint8)
+    at = 0
+
+    def take(count: int, kind: str) -> np.ndarray:
+        nonlocal at
+        width = np.dtype(kind).itemsize
+        out = np.ascontiguousarray(raw[at : at + count * width].reshape(width, count).T).view(kind).ravel()
+        at += count * width
+        return out
+
+    variant, index = np.cumsum(take(n, "<u4"), dtype=np.uint32), take(n, "<u2")
+    node = np.cumsum(take(m, "<i8"))
+    size, root = take(m, "<i4"), take(m, "<i8") + node
+    return variant, node[index], size[index], root[index]
+
+
+def _crossing(node: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of one group that different components hold, some at a time."""
+    names, where, counts = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((where, counts[where]))  # the largest component last
+    node, size, where = node[order], size[order], where[order]
+    ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where))
+    for begin, end in zip([0, *ends[:-2].tolist()], ends[:-1].tolist()):
+        rest = len(node) - end
+        step = max(1, (1 << 20) // rest)
+        for low in range(begin, end, step):
+            mine = np.arange(low, min(low + step, end))
+            left, right = np.repeat(mine, rest), np.tile(np.arange(end, len(node)), len(mine))
+            yield node[left], node[right], size[left], size[right]
+
+
+def _meet(similarity: float, again: bool):
+    """Pairs ``a``, ``b`` that meet on a variant and whose sizes allow the similarity.
+
+    First, all pairs of a group of up to SMALL texts, and a star for a larger
+    one, whose texts are also given as ``a`` alone.  ``again``: of the larger
+    groups, all pairs that the components do not join yet.
+    """
+
+    def fit(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+        return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1)
+
+    def pairs_of(blobs: list[bytes]) -> Iterator[np.ndarray]:
+        variant, node, size, root = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
+        order = np.argsort(variant, kind="stable")
+        variant = variant[order]
+        at = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
+        counts = np.diff(np.append(at, len(variant)))
+        held = np.repeat(counts, counts)
+        crowd = held > SMALL
+        if again:
+            for low, n in zip(at[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
+                mine = order[low : low + n]
+                if (root[mine] != root[mine[0]]).any():
+                    for found in _crossing(node[mine], size[mine], root[mine]):
+                        yield fit(*found)
+            return
+        for lag in range(1, min(SMALL, int(counts.max()))):
+            i = np.flatnonzero(~crowd[lag:] & (variant[lag:] == variant[:-lag]))
+            i, j = order[i], order[i + lag]
+            yield fit(node[i], node[j], size[i], size[j])
+        if crowd.any():
+            first = order[np.repeat(at, counts)[crowd]]
+            mine = order[crowd]
+            yield fit(node[first], node[mine], size[first], size[mine])
+            yield np.stack([node[mine], np.full(len(mine), -1)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blobs.setdefault(b, []).append(blob)
+        for b in sorted(blobs):
+            held, n = [], 0
+            for found in pairs_of(blobs.pop(b)):
+                held.append(found[found[:, 0] != found[:, 1]])
+                n += len(held[-1])
+                if n > 1 << 21:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    n = 0
+            if held:
+                out = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
     tables: int = 8,
+    bits: int = 32,
 ) -> DataFrame:
-    """``doc_id`` and ``component_id`` by Jaccard similarity of word shingles.
+    """``doc_id``, ``sum`` (hash of the text), ``root`` and ``component_id``.
 
-    One fingerprint of 64 bits at radius 2 finds few pairs at a similarity of
-    0.8, so ``tables`` (an even number) fingerprints of 32 bits each emit their
-    balls of radius 1; what meets in any of them is verified on the texts'
-    whole shingle sets.  Found at a similarity of 0.8: about 65 %, at 0.9: 96 %,
-    at 0.95: over 99 %, for each pair by itself; groups are linked through any
-    of their pairs.  Texts with equal hashes of all shingles are one node.
-    Texts without words are alike.  Nulls as in :func:`simhash_components`.
+    As :func:`near_duplicates`; ``root`` tells components apart that the same
+    id names.
     """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("sum"), "text")
     prints = materialize(
-        fingerprints(docs, id_col, text_col, shingle, words=tables // 2).withColumn("same", F.xxhash64("fps")), "fingerprints"
+        keyed.mapInArrow(_prints(shingle, tables // 2), f"doc_id {dict(rows.dtypes)['doc_id']}, sum bigint, same binary, size int, fps array<bigint>"),
+        "fingerprints",
     )
     nodes = materialize(
-        prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "nodes"
-    )
-    word = lambda i: F.get(F.col("fps"), (i / 2).cast("int"))
-    halves = F.transform(
-        F.sequence(F.lit(0), F.lit(tables - 1)),
-        lambda i: F.when(i % 2 == 0, word(i).bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned(word(i), 32)),
-    )
-    parts = nodes.select("same", F.posexplode(halves).alias("band", "part"))
-    # The table's number sits above the 32 bits that vary.
-    keyed = parts.select("same", (F.col("part") + F.col("band") * F.lit(1 << 32)).alias("key"))
-    reps = keyed.groupBy("key").agg(F.min("same").alias("rep"), F.count("*").alias("n"))
-    # Texts alike in a whole table are a star, so that a large group is never sorted as one.
-    stars = keyed.join(reps.where("n > 1"), "key").where("same != rep").select(F.col("rep").alias("a"), F.col("same").alias("b"))
-    links = materialize(
-        ball_links(reps, "key", 32, 2, also="rep").unionAll(stars).where("a != b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "links",
-    )
-    ends = links.select(F.col("a").alias("same")).unionAll(links.select("b")).distinct()
-    needed = materialize(
-        docs.select(F.col(id_col).alias("first"), F.col(text_col).cast("string").alias("text"))
-        .join(nodes.join(ends, "same").select("first", "same"), "first").dropDuplicates(["same"]).select("same", "text"),
-        "texts",
-    )
-    pairs = (
-        links.join(needed.select(F.col("same").alias("a"), F.col("text").alias("left")), "a")
-        .join(needed.select(F.col("same").alias("b"), F.col("text").alias("right")), "b")
+        prints.groupBy("same")
+        .agg(F.min("doc_id").alias("first"), F.min("sum").alias("sum"), F.any_value("size").alias("size"), F.any_value("fps").alias("fps"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "nodes",
     )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = max(1, min(1 << 10, -(-4 * parts // tables)))
+
+    def meet(points: DataFrame, again: bool) -> DataFrame:
+        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, split), "bucket int, payload binary")
+        return packed.repartition(parts, "bucket").mapInArrow(_meet(similarity, again), "a bigint, b bigint").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +336,61 @@ def near_duplicates(
                 keep.append(both >= similarity * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    roots = connected_components(pairs.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint"), "a", "b")
-    # The components are written by now: pairs and texts have served.
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda end, fps: nodes.select(F.col("node").alias(end), F.col("fps").alias(fps))
+        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+        near = materialize(
+            pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart <= int(FAR * 32 * tables)).select("a", "b"), "links"
+        )
+        ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
+        wanted = nodes.join(ends, "node").select("node", "sum")
+        texts = materialize(
+            keyed.select("sum", "text").join(wanted, "sum").dropDuplicates(["node"]).select("node", "text"), "texts"
+        )
+        both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b"
+        )
+        good = materialize(both.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint"), "similar")
+        release(near)
+        release(texts)
+        return good
+
+    met = materialize(meet(nodes.withColumn("root", F.col("node")), False), "met")
+    links = verified(met.where("b >= 0"))
+    roots = connected_components(links, "a", "b")
+    crowded = materialize(met.where("b < 0").select(F.col("a").alias("node")), "crowded")
+    release(met)
+    if crowded.limit(1).count():
+        # A star settles what is like its centre; the others are compared with all.
+        known = nodes.join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = verified(meet(known, True))
+        roots = connected_components(links.unionAll(more), "a", "b")
+        release(more)
+    release(crowded)
     release(links)
-    release(needed)
-    joined = nodes.join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(joined.join(named, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+    return prints.join(joined.join(named, "root").select("same", "root", "component_id"), "same").select("doc_id", "sum", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    tables: int = 8,
+    bits: int = 32,
+) -> DataFrame:
+    """``doc_id`` and ``component_id`` by Jaccard similarity of word shingles.
+
+    One fingerprint of 64 bits at radius 2 finds few pairs at a similarity of
+    0.8, so ``tables`` (an even number) fingerprints of ``bits`` bits each emit
+    their balls of radius 1.  All pairs that meet in any of them are verified on
+    the texts' whole shingle sets, unless components of verified pairs join
+    them already, or over FAR of all fingerprints' bits differ.  Found at a
+    similarity of 0.8: about 65 %, at 0.9: 96 %, at 0.95: over 99 %, for each
+    pair by itself.  Texts with equal hashes of all shingles are one node.
+    Texts without words are alike.  Nulls as in :func:`simhash_components`.
+    """
+    return similar_texts(docs, id_col, text_col, shingle, similarity, tables, bits).select("doc_id", "component_id")

@@ -109,6 +109,28 @@ def test_near_duplicates_link_similar_texts(spark, docs):
     assert all(sets.find(i) == sets.find(got[i]) for i in shingles)  # nothing else is linked
 
 
+def test_near_duplicates_meet_behind_unlike_texts(spark, monkeypatch):
+    import ledgerloom.llm.simhash as module
+
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    # Boilerplate makes all texts meet, at 0.7; each has one twin, at 0.85.
+    base, rows = words(300), []
+    for i in range(0, 240, 2):
+        own = base + words(28)
+        rows += [(i, " ".join(own + words(29))), (i + 1, " ".join(own + words(29)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashes = [module.shingle_hashes(t, 5) for _, t in rows]
+    keys = np.array([[module.majority(module._remixed(h, salt)) >> s & 0xFFFFFFFF for salt in range(4) for s in (0, 32)] for h in hashes])
+    meet = [i for i in range(0, 240, 2) if any(int(a ^ b).bit_count() <= 2 for a, b in zip(keys[i], keys[i + 1]))]
+    assert len(meet) > 80
+    for small in (16, 2):
+        monkeypatch.setattr(module, "SMALL", small)
+        got = dict(near_duplicates(df, tables=8, bits=32).collect())
+        assert [i for i in meet if got[i + 1] != i] == []
+        assert all(got[i] in (i, i & ~1) for i in got)
+
+
 def test_remove_repeated_bytes(spark, docs):
     rows, df = docs
     seen, want = set(), {}
