@@ -131,6 +131,17 @@ def test_near_duplicates_meet_behind_unlike_texts(spark, monkeypatch):
         assert all(got[i] in (i, i & ~1) for i in got)
 
 
+def test_near_duplicates_compare_sets_of_shingles(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line = "the same line again and over "
+    rows = [(i, line * 2000 + words(200)) for i in range(4)]  # unlike but for the line
+    own = words(300)
+    rows += [(10, own), (11, line * 100 + own), (12, own + " " + line * 300)]  # alike but for it
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10, 12: 10}
+
+
 def test_remove_repeated_bytes(spark, docs):
     rows, df = docs
     seen, want = set(), {}
