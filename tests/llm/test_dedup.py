@@ -142,6 +142,19 @@ def test_near_duplicates_compare_sets_of_shingles(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10, 12: 10}
 
 
+def test_near_duplicates_find_pairs_at_the_threshold(spark):
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 600, 2):  # 160 of 200 shingles, or 40 of 50, are common
+        n = 160 if i % 4 else 40
+        own = words(n + 4)
+        rows += [(i, " ".join(own + words(n // 8))), (i + 1, " ".join(own + words(n // 8)))]
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert sum(got[i + 1] == i for i in range(0, 600, 2)) >= 0.97 * 300
+    assert all(got[i] in (i, i & ~1) for i in got)
+
+
 def test_remove_repeated_bytes(spark, docs):
     rows, df = docs
     seen, want = set(), {}
