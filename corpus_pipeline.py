@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.langid import UNKNOWN, identify
 from ledgerloom.llm.mixing import mix_sources
-from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.simhash import similar_texts
 from ledgerloom.llm.suffix import NO_ID, remove_repeats
 from ledgerloom.plans import materialize
 
@@ -34,11 +34,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of every group of near-duplicates.
 
-    Of rows that repeat that id, one stays.  Rows without an id all stay.
+    Of rows that repeat that id with texts of the group, one stays; with other
+    texts, the id stays once for each of their groups.  Rows without an id all
+    stay.
     """
-    classes = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    named = similar_texts(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "sum")).alias("one"))
+    classes = named.select(F.col("one.doc_id").alias("doc_id"), F.col("one.sum").alias("_sum"))
+    keyed = docs.where("doc_id is not null").withColumn("_sum", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(classes, ["doc_id", "_sum"], "left_semi").dropDuplicates(["doc_id", "_sum"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +70,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of every document for the mix; documents with none are left out."""
-    mixed = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target", "copies")
-    once = mixed.where("copies > 0 and _id is not null").groupBy("_id", "_source").agg(
-        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies")
-    )
-    same = docs["doc_id"].eqNullSafe(once["_id"]) & docs["source"].cast("string").eqNullSafe(once["_source"])
-    return docs.join(once, same).select(*docs.columns, "size", "source_size", "target", "copies")
+    # A row's number reaches it whatever its id, null or repeated.
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    mixed = mix_sources(rows, keep=("_row",)).where("copies > 0").select("_row", "size", "source_size", "target", "copies")
+    return rows.join(mixed, "_row").select(*docs.columns, "size", "source_size", "target", "copies")
 
 
 STAGES = [

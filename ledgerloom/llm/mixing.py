@@ -108,12 +108,13 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     share: float = 1.5,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of every document, so that each source comes to its target.
 
     Returns one row a document: ``doc_id``, ``source``, ``size`` (words),
-    ``source_size``, ``target`` (its source's), ``rate`` (0 to 2) and ``copies``
-    (0, 1 or 2).  A null text has size 0 and a null source is a source of its
+    ``source_size``, ``target`` (its source's), ``rate`` (0 to 2), ``copies``
+    (0, 1 or 2) and the columns ``keep`` of ``docs``.  A null text has size 0 and a null source is a source of its
     own.  Documents without words are kept once: they weigh nothing.  Repeated
     rows count each for itself.  Which documents of a cell get one copy more is
     settled by a hash of the id, then of the text, so reruns agree; rows alike
@@ -129,6 +130,7 @@ def mix_sources(
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("tie"),
+            *keep,
         ),
         "sizes",
     )
@@ -173,13 +175,13 @@ def mix_sources(
     salted = (
         kept.alias("d")
         .join(copies.alias("c"), F.expr("d.source <=> c.source and d.cell = c.cell"))
-        .select("doc_id", "d.source", "d.cell", "size", "tie", "source_size", "target", "rate", "n", "k",
+        .select("doc_id", "d.source", "d.cell", "size", "tie", "source_size", "target", "rate", "n", "k", *keep,
                 F.pmod(F.xxhash64("tie", F.lit("part")), parts).alias("part"))
     )
-    return _rank(salted)
+    return _rank(salted, keep)
 
 
-def _rank(salted: DataFrame) -> DataFrame:
+def _rank(salted: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     salted = materialize(salted, "salted")
     sums = salted.groupBy("source", "cell", "part").agg(F.count("*").alias("m"))
     upto = Window.partitionBy("source", "cell").orderBy("part")
@@ -192,4 +194,4 @@ def _rank(salted: DataFrame) -> DataFrame:
     mine = F.floor(F.col("k") * F.col("upto") / F.col("n")) - F.floor(F.col("k") * (F.col("upto") - F.col("m")) / F.col("n"))
     base = F.floor(mine / F.col("m"))
     copies = base + (F.row_number().over(near) <= mine - base * F.col("m")).cast("long")
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    return joined.select("doc_id", "d.source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"), *keep)

@@ -98,3 +98,21 @@ def test_pipeline_stages(spark, tmp_path):
     end = corpus_pipeline.mixing(spark, now, DATA)
     assert end.columns[: len(docs.columns)] == docs.columns and end.count() <= now.count()
     assert {r[0] for r in end.select("copies").distinct().collect()} <= {1, 2}
+
+
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    apart = [" ".join(f"w{i}x{k}" for k in range(30 + i)) for i in range(8)]
+    rows = [(None, apart[0], "en", "s", 1), (None, apart[1], "en", "s", 1), (None, apart[1], "en", "s", 1)]
+    rows += [(5, apart[i], "en", "s", 1) for i in (2, 3, 3)] + [(i, apart[i], "en", "t", 1) for i in (6, 7)]
+    df = spark.createDataFrame(rows, docs.schema)
+    once = corpus_pipeline.materialize(corpus_pipeline.near_dedup(spark, df, DATA), "test")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in once.collect())
+    assert got == sorted([(0, apart[0]), (0, apart[1]), (0, apart[1]), (5, apart[2]), (5, apart[3]), (6, apart[6]), (7, apart[7])])
+    mixed = corpus_pipeline.mixing(spark, df, DATA).collect()
+    assert {r["source"]: r["source_size"] for r in mixed} == {s: sum(len(x[1].split()) for x in rows if x[3] == s) for s in "st"}
+    taken = lambda s: sum(r["copies"] * r["size"] for r in mixed if r["source"] == s)
+    assert all(abs(taken(r["source"]) - r["target"]) <= 40 for r in mixed) and len(mixed) <= len(rows)
+    assert None in {r["doc_id"] for r in mixed}
