@@ -149,11 +149,12 @@ def _entries(length: int, buckets: int):
             new = _groups(s.anchor[order])
             rank = np.arange(len(new)) - _first_of(new, np.arange(len(new))) if len(new) else np.empty(0, int)
             wait = rank >= CROWD
-            s.tied |= np.isin(s.anchor, s.anchor[order[wait]])
+            crowd = np.isin(s.anchor, s.anchor[order[wait]])
             done.append((s.doc[order[wait]], _run(s.start[order[wait]], s.count[order[wait]], True)))
-            s = s.take(np.sort(order[~wait]))
+            stay = np.sort(order[~wait])
+            s, crowd = s.take(stay), crowd[stay]
             neighbours = s.left.astype(U) | (s.right.astype(U) << U(12))
-            small = s.count.astype(U) | (s.place.astype(U) << U(6)) | (s.tied.astype(U) << U(12))
+            small = s.count.astype(U) | (s.place.astype(U) << U(6)) | (s.tied.astype(U) << U(12)) | (crowd.astype(U) << U(13))
             bucket = ((s.anchor >> U(38)) % U(buckets)).astype(np.int64)
             body = [s.anchor >> U(6), s.digest, neighbours, small, s.start]
             yield _deal(ids, sums, bucket, s.doc, body, _ENTRY, tuple(np.concatenate(x) for x in zip(*done)), buckets)
@@ -198,7 +199,9 @@ def _refine(length: int):
             ids, sums, anchor, near, small, start = (x[~gone] for x in (ids, sums, anchor, near, small, start))
             count, place = (small & U(63)).astype(np.int64), ((small >> U(6)) & U(63)).astype(np.int64)
             new = _groups(anchor)
-            whole = (np.maximum.reduceat(small >> U(12), np.flatnonzero(new))[np.cumsum(new) - 1] > 0) & _shared(new, ids)
+            marks = np.bitwise_or.reduceat(small >> U(12), np.flatnonzero(new))[np.cumsum(new) - 1]
+            # Those of a crowd that wait may be another document's.
+            whole = (marks > 1) | ((marks > 0) & _shared(new, ids))
             alike = []
             for side in (near & U(0xFFF), near >> U(12)):
                 order = np.lexsort((ids, side, anchor))

@@ -176,6 +176,17 @@ def test_remove_repeated_bytes(spark, docs):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in remove_repeats(odd).collect()) == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 55)]
 
 
+def test_remove_repeated_bytes_of_a_crowd_in_one_document(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    anchor = "fdgwqssozcqgabze"  # of a low identifier
+    runs = [letters(60) + anchor + letters(60) for _ in range(300)]
+    for k, n in ((5, 60), (9, 61)):  # one letter more is alike by chance
+        rows = [(1, "".join(runs)), (2, letters(30) + runs[k][40:100] + letters(30))]
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: n}
+
+
 def test_remove_repeated_words(spark, docs):
     rows, df = docs
     seen, want = set(), {}
