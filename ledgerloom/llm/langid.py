@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,14 @@ def word_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple
     return fixed, _slots(grams, 6), upto
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter by its Unicode category."""
+    out = np.zeros(1 << 21, bool)
+    out[:0x110000] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return out
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every word with a letter, and each text's offsets in them."""
     word = ~_SPACE[data]
@@ -100,7 +109,12 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cut[bounds[:-1][bounds[:-1] < len(data)]] = True
     begin = np.flatnonzero(word & (cut[:-1] | ~np.concatenate([[False], word[:-1]])))
     end = np.flatnonzero(word & (cut[1:] | ~np.concatenate([word[1:], [False]]))) + 1
-    letter = (data >= 0x80) | ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    for low in range(0, len(data), 1 << 18):  # bounds the memory
+        lead = low + np.flatnonzero(data[low : low + (1 << 18)] >= 0xC2)
+        a, b, c, d = (data.take(lead + i, mode="clip").astype(np.int32) & (0x3F if i else 0xFF) for i in range(4))
+        two, three, four = (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | d
+        letter[lead] = _letters()[np.where(a < 0xE0, two, np.where(a < 0xF0, three, four))]
     seen = np.concatenate([[0], np.cumsum(letter)])
     has = seen[end] > seen[begin]
     begin, end = begin[has], end[has]

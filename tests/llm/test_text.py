@@ -45,6 +45,17 @@ def test_code_switching_and_odd_texts():
     assert predict_texts(fit(["a b"], ["x"]), pa.array(["c"]))[0] == ["x"]
 
 
+def test_letters_are_those_of_unicode():
+    model = fit(["ab cd ef", "gh ij kl"], ["x", "y"])
+    signs = ["— – …", "“ ” «»", "€ 5 £", "😀 👍🏽", "。 、", "٠١٢", "\u00a0", "1 – 2", "\ud55c".encode("utf-8").decode() + "。"]
+    names, share = predict_texts(model, pa.array(signs))
+    assert names[:8] == ["und"] * 8 and share[:8].tolist() == [0] * 8 and names[8] != "und"
+    letters = ["é", "ß", "漢", "ж", "한", "ا", "𐐀", "𠀀"]
+    assert "und" not in predict_texts(model, pa.array(letters))[0]
+    apart, plain = (predict_texts(model, pa.array([t]))[1] for t in ("ab — cd … ef", "ab cd ef"))
+    assert apart == plain
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     wide = docs.withColumn("score", F.lit("clash"))
