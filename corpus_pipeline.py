@@ -14,7 +14,7 @@ from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.langid import UNKNOWN, identify
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.simhash import similar_texts
-from ledgerloom.llm.suffix import NO_ID, remove_repeats
+from ledgerloom.llm.suffix import NO_ID, remove_repeats, text_sum
 from ledgerloom.plans import materialize
 
 #: A text goes if no language has this share of its words.
@@ -55,7 +55,7 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = F.make_valid_utf8(F.col("kept").cast("string"))
     cut = remove_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"), "n_removed", new.alias("new"))
     cut = cut.where("n_removed > 0").dropDuplicates(["_id", "_sum"])
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_sum": F.hash("text")})
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_sum": text_sum(F.col("text"))})
     joined = keyed.join(cut, ["_id", "_sum"], "left")
     # Halves of characters come back as U+FFFD.
     text = F.when(F.col("n_removed") > 0, F.replace("new", F.lit("�"), F.lit(""))).otherwise(F.col("text"))

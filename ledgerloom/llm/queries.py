@@ -144,6 +144,39 @@ placed as (
   select *, sum(strlen(a)) over (partition by floor(page_id / 4096.0) order by page_id, u || ' ' || d rows unbounded preceding) as stop from both_rec)
 select page_id, cast(stop - strlen(a) as bigint) as begin, cast(stop as bigint) as "end", sha256(a) as left_hash, sha256(b) as right_hash
 from placed where d like '0%'
+""",
+    "op6_substring_dedup": r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select r, doc_id, p, w[p] as word, case when p + 49 <= len(w) then array_to_string(w[p:p + 49], ' ') end as win
+          from texts, unnest(range(1, len(w) + 1)) as t(p)),
+firsts as (select win, min(doc_id) as d from words where win is not null group by win having min(doc_id) < max(doc_id)),
+marked as (
+  select r, p, word, bool_or(coalesce(doc_id > d, false)) over (partition by r order by p rows between 49 preceding and current row) as gone
+  from words left join firsts using (win)),
+cut as (select r, count(*) as n, count_if(gone) as g, string_agg(word, ' ' order by p) filter (not gone) as kept from marked group by r)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts left join cut using (r)
+""",
+    "op7_suffix_dedup": r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '.{1,200}') as hs from documents),
+blocks as (select r, doc_id, k, hs[k] as own, hs[k] || coalesce(hs[k + 1], '') as h from texts, unnest(range(1, len(hs) + 1)) as t(k)),
+bytes as (
+  select r, doc_id, 100 * (k - 1) + i as p, substr(own, 2 * i + 1, 2) as b,
+         case when 2 * i + 100 <= length(h) then substr(h, 2 * i + 1, 100) end as win
+  from blocks, unnest(range(0, length(own) // 2)) as t(i)),
+firsts as (select win, min(doc_id) as d from bytes where win is not null group by win having min(doc_id) < max(doc_id)),
+marked as (
+  select r, p, b, bool_or(coalesce(doc_id > d, false)) over (partition by r order by p rows between 49 preceding and current row) as gone
+  from bytes left join firsts using (win)),
+turned as (select *, gone and not coalesce(lag(gone) over (partition by r order by p), false) as opens from marked),
+cut as (
+  select r, count(*) as n, count_if(gone) as g, count_if(opens) as s, string_agg(b, '' order by p) filter (not gone) as kept
+  from turned group by r)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_bytes, cast(coalesce(g, 0) as bigint) as n_removed,
+  cast(coalesce(s, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from texts left join cut using (r)
 """,
     "op8_embedding_dedup": """
 with recursive ok as (

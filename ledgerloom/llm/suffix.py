@@ -1,24 +1,25 @@
-"""Removal of repeated byte strings by refining buckets of suffixes.
-
-Suffixes (here: 50-byte windows) are sorted only as far as it takes to tell
-whether they repeat.  Buckets of depth 16 are refined, by sorting, on the bucket
-identifiers at later offsets:
-
-1. *q-gram buckets.*  A window is represented by its anchor, the least 16-byte
-   bucket identifier in it, so that one entry stands for a run of windows.  An
-   entry carries the bucket of its anchor, the buckets one gram before and
-   after it, and the combination of all bucket identifiers its windows cover.
-2. *Refinement.*  Within an anchor's bucket, sorting on the combined identifiers
-   finds equal runs: all but the first document's are repeats.  What is left is
-   split by the neighbouring identifiers; an entry alone in its sub-buckets
-   cannot share 50 bytes with another document and is done (a singleton bucket).
-3. *Refinement to the full depth.*  The few entries left are refined window by
-   window on the identifiers at offsets 0, 16, 32 and 34, which cover 50 bytes.
-
-Identifiers are 64-bit hashes of content, so the ones made for depth 16 are
-reused at every later depth and no rank has to be sent back.  Entries are packed
-into binary rows by bucket; equal entries meet within a batch first, so a
-passage that a third of all documents share costs one entry a batch.
+"""Removal of repeated byte strings by bucket-pointer refinement of suffixes.
+
+Suffixes are sorted into buckets only as deep as it takes to tell whether their
+first 50 bytes stand in an earlier document too.
+
+1. *Initial buckets by q-gram.*  Of every 50-byte window the least 16-byte gram
+   is its anchor; the suffixes that begin at anchors stand for all others.  An
+   entry is a run of windows of one anchor with its bucket (the gram), the grams
+   next to the anchor and a digest of all bytes that its windows cover.  Within a
+   bucket equal digests are equal runs, and all but the first document's are
+   repeats.  An entry alone with its neighbouring grams is a singleton bucket
+   and done.
+2. *Refinement by pointers.*  What is left is refined byte by byte.  Suffixes are
+   first put into buckets of depth 25.  Those of buckets with one owner only are
+   done; each of the others gets its bucket's pointer back.  Then the pointers
+   at p and p + 25 name the bucket of depth 50 at p: depth doubles with every
+   round, and a round uses nothing but the pointers that the one before wrote.
+   At full depth the bucket's least document owns the string.
+
+Texts are read in shards.  A shard keeps its suffixes, groups them by itself and
+sends one entry a bucket and group, so that a passage which a third of all
+documents share costs one entry a shard; pointers come back to the shard.
 """
 
 from __future__ import annotations
@@ -27,88 +28,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import spans
+from ledgerloom.llm import packs, spans
+from ledgerloom.llm.packs import groups, heads
 from ledgerloom.llm.spans import NONE, U
-from ledgerloom.llm.tokens import batch_segments, gathered, grams, read, text_bytes
+from ledgerloom.llm.tokens import batch_segments, gathered, grams, text_bytes
 from ledgerloom.plans import materialize
 
 GRAM = 16
 #: Stands for a null id.
 NO_ID = -(1 << 63)
-#: Entries of one anchor that a batch sends; beyond, all are refined to the full depth.
+#: Entries of one anchor that a batch sends; beyond, all are refined by pointers.
 CROWD = 64
+#: Runs of windows in a shard.
+SHARD = 1 << 14
 #: A run of windows as one number: start, one bit for "to be refined", windows.
-_RUN = "doc_id bigint, sum int, run bigint"
-#: Bytes of an entry's columns: anchor, digest, neighbours, place and size, start.
-_ENTRY = (3, 5, 3, 2, 4)
-#: The same of a window: its hash, start.
-_WINDOW = (7, 4)
+_RUN = "doc_id bigint, sum bigint, run bigint"
+#: What shards send to buckets and buckets to shards: entries (kind 0), and a shard's own suffixes (kind 1).
+_MAIL = "bucket int, shard bigint, kind int, payload binary"
+_LOW40, _LOW48 = U((1 << 40) - 1), U((1 << 48) - 1)
 
 
-def _groups(*keys: np.ndarray) -> np.ndarray:
-    """Where a sorted run of equal keys begins."""
-    new = np.zeros(len(keys[0]), bool)
-    if len(new):
-        new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
-def _first_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each entry of sorted groups, the value of the group's first entry."""
-    return values[np.flatnonzero(new)][np.cumsum(new) - 1]
-
-
-def _planes(x: np.ndarray, size: int) -> np.ndarray:
-    """The low ``size`` bytes of each number, byte by byte, which packs better."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T
-
-
-def _pack(ids: np.ndarray, sums: np.ndarray, doc: np.ndarray, body: list[np.ndarray], widths: tuple, done: tuple) -> bytes:
-    """Documents, entries in their order and runs that are done, column by column.
-
-    The last column of ``body`` (the start) and the documents are stored as
-    differences.
-    """
-    used, index = np.unique(np.concatenate([doc, done[0]]), return_inverse=True)
-    columns = [ids[used].astype("<i8"), sums[used].astype("<i4")]
-    columns += [_planes(np.diff(x, prepend=0).astype(np.int64), 4) for x in (index[: len(doc)], index[len(doc) :])]
-    columns += [_planes(x, w) for x, w in zip(body[:-1], widths)]
-    columns += [_planes(np.diff(body[-1].astype(np.int64), prepend=0), widths[-1]), _planes(done[1], 6)]
-    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-    head = np.array([len(used), len(doc), len(done[0]), len(raw)], "<i8").tobytes()
-    return head + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
-
-
-def _unpack(blob: bytes, widths: tuple) -> tuple:
-    """(ids, sums) of each entry, its columns, and (ids, sums, run) of what is done."""
-    n_docs, n, m, size = np.frombuffer(blob, "<i8", 4).tolist()
-    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[32:], size, asbytes=True), np.uint8)
-    at = 0
-
-    def take(count: int, width: int, signed: bool = False) -> np.ndarray:
-        nonlocal at
-        wide = np.zeros((count, 8), np.uint8)
-        wide[:, :width] = raw[at : at + count * width].reshape(width, count).T
-        at += count * width
-        out = wide.view("<u8").ravel()
-        return out.astype(np.uint32).view(np.int32).astype(np.int64).cumsum() if signed else out
-
-    ids = raw[: 8 * n_docs].view("<i8")
-    sums = raw[8 * n_docs : 12 * n_docs].view("<i4")
-    at = 12 * n_docs
-    mine, over = take(n, 4, True), take(m, 4, True)
-    body = [take(n, w) for w in widths[:-1]] + [take(n, widths[-1], True)]
-    return ids[mine], sums[mine], body, ids[over], sums[over], take(m, 6)
+def text_sum(text: Column) -> Column:
+    """40 bits of a hash, which tell texts of one id apart."""
+    return F.xxhash64(text).bitwiseAND((1 << 40) - 1)
 
 
 def _rows(ids: np.ndarray, sums: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids.astype(np.int64)), pa.array(sums.astype(np.int32)), pa.array(run.astype(np.int64))], ["doc_id", "sum", "run"]
+        [pa.array(ids.astype(np.int64)), pa.array(sums.astype(np.int64)), pa.array(run.astype(np.int64))], ["doc_id", "sum", "run"]
     )
 
 
@@ -116,66 +67,44 @@ def _run(start: np.ndarray, count: np.ndarray, refine: bool = False) -> np.ndarr
     return (start.astype(np.int64) << 8) + count.astype(np.int64) + (128 if refine else 0)
 
 
-def _deal(ids: np.ndarray, sums: np.ndarray, bucket: np.ndarray, doc: np.ndarray, body: list, widths: tuple, done: tuple, buckets: int) -> pa.RecordBatch:
-    """One packed row a bucket; runs that are done go along with any bucket."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    share = np.linspace(0, len(done[0]), buckets + 1).astype(int)
-    rows = []
-    for b in range(buckets):
-        mine, part = order[cuts[b] : cuts[b + 1]], slice(share[b], share[b + 1])
-        if len(mine) or share[b] < share[b + 1]:
-            rows.append((b, _pack(ids, sums, doc[mine], [x[mine] for x in body], widths, tuple(x[part] for x in done))))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"]
-    )
-
-
-def _batch_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
 
 
-def _entries(length: int, buckets: int):
+def _entries(length: int, buckets: int, crowd_size: int):
+    """Entries by bucket; runs that are settled already go in buckets from ``buckets`` on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sums = _batch_ids(batch)
+            ids, sums = _numbers(batch)
             s = batch_segments(batch.column(2), length, GRAM, "bytes")
+            if not len(s.doc):
+                continue
             order = np.lexsort((ids[s.doc], s.digest, s.anchor))
             owner = ids[s.doc[order]]
-            gone = owner > _first_of(_groups(s.anchor[order], s.digest[order]), owner) if len(owner) else np.empty(0, bool)
+            gone = owner > owner[heads(groups(s.anchor[order], s.digest[order]))]
             done = [(s.doc[order[gone]], _run(s.start[order[gone]], s.count[order[gone]]))]
             order = order[~gone]
-            # A crowd at one anchor is refined to the full depth; a few stand for it.
-            new = _groups(s.anchor[order])
-            rank = np.arange(len(new)) - _first_of(new, np.arange(len(new))) if len(new) else np.empty(0, int)
-            wait = rank >= CROWD
+            # A crowd at one anchor is refined by pointers; a few stand for it.
+            rank = np.arange(len(order)) - heads(groups(s.anchor[order]))
+            wait = rank >= crowd_size
             crowd = np.isin(s.anchor, s.anchor[order[wait]])
             done.append((s.doc[order[wait]], _run(s.start[order[wait]], s.count[order[wait]], True)))
             stay = np.sort(order[~wait])
             s, crowd = s.take(stay), crowd[stay]
-            neighbours = s.left.astype(U) | (s.right.astype(U) << U(12))
             small = s.count.astype(U) | (s.place.astype(U) << U(6)) | (s.tied.astype(U) << U(12)) | (crowd.astype(U) << U(13))
-            bucket = ((s.anchor >> U(38)) % U(buckets)).astype(np.int64)
-            body = [s.anchor >> U(6), s.digest, neighbours, small, s.start]
-            yield _deal(ids, sums, bucket, s.doc, body, _ENTRY, tuple(np.concatenate(x) for x in zip(*done)), buckets)
+            small |= (s.left.astype(U) << U(16)) | (s.right.astype(U) << U(28))
+            body = [(s.anchor >> U(6)) & _LOW40, s.digest & _LOW48, small, sums[s.doc], ids[s.doc], s.start]
+            yield packs.dealt((spans.mixed(s.anchor) % U(buckets)).astype(np.int64), body, 4)
+            doc, runs = (np.concatenate(x) for x in zip(*done))
+            order = np.lexsort((runs, doc))
+            doc, runs = doc[order], runs[order]
+            if len(doc):
+                yield packs.dealt(buckets + doc % buckets, [ids[doc], sums[doc], runs], 0)
 
     return run
 
 
-def _gather(blobs: list[bytes], widths: tuple) -> tuple:
-    parts = [_unpack(b, widths) for b in blobs]
-    joined = [np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5)]
-    return joined[0], joined[1], [np.concatenate(x) for x in zip(*(p[2] for p in parts))], joined[2:]
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(b, []).append(blob)
-    return held
-
-
 def _shared(new: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Whether an entry's group has more than one owner."""
     if not len(new):
@@ -184,32 +113,32 @@ def _shared(new: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return (np.minimum.reduceat(owner, at) < np.maximum.reduceat(owner, at))[np.cumsum(new) - 1]
 
 
-def _refine(length: int):
+def _refine(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _by_bucket(batches)
-        for b in sorted(held):
-            ids, sums, (anchor, digest, near, small, start), done = _gather(held.pop(b), _ENTRY)
-            yield _rows(*done)
-            if not len(ids):
+        for b, columns in packs.by_bucket(batches):
+            if b >= buckets:
+                yield _rows(*columns)
                 continue
+            anchor, digest, small, sums, ids, start = columns
             order = np.lexsort((ids, digest, anchor))
-            ids, sums, anchor, digest, near, small, start = (x[order] for x in (ids, sums, anchor, digest, near, small, start))
-            gone = ids > _first_of(_groups(anchor, digest), ids)
-            yield _rows(ids[gone], sums[gone], _run(start[gone], small[gone] & U(63)))
-            ids, sums, anchor, near, small, start = (x[~gone] for x in (ids, sums, anchor, near, small, start))
-            count, place = (small & U(63)).astype(np.int64), ((small >> U(6)) & U(63)).astype(np.int64)
-            new = _groups(anchor)
-            marks = np.bitwise_or.reduceat(small >> U(12), np.flatnonzero(new))[np.cumsum(new) - 1]
+            ids, sums, anchor, digest, small, start = (x[order] for x in (ids, sums, anchor, digest, small, start))
+            new = groups(anchor)
+            marks = np.bitwise_or.reduceat((small >> 12) & 3, np.flatnonzero(new))[np.cumsum(new) - 1]
+            gone = ids > ids[heads(groups(anchor, digest))]
+            yield _rows(ids[gone], sums[gone], _run(start[gone], small[gone] & 63))
+            ids, sums, anchor, small, start, marks = (x[~gone] for x in (ids, sums, anchor, small, start, marks))
+            count, place = small & 63, (small >> 6) & 63
+            new = groups(anchor)
             # Those of a crowd that wait may be another document's.
-            whole = (marks > 1) | ((marks > 0) & _shared(new, ids))
+            whole = (marks > 1) | (((marks > 0) | (length < 3 * GRAM - 1)) & _shared(new, ids))
             alike = []
-            for side in (near & U(0xFFF), near >> U(12)):
+            for side in ((small >> 16) & 0xFFF, (small >> 28) & 0xFFF):
                 order = np.lexsort((ids, side, anchor))
                 found = np.empty(len(ids), bool)
-                found[order] = _shared(_groups(anchor[order], side[order]), ids[order]) & (side[order] != NONE)
+                found[order] = _shared(groups(anchor[order], side[order]), ids[order]) & (side[order] != NONE)
                 alike.append(found | whole)
-            # A shared window holds the anchor, and the gram before it or the one after:
-            # with only one of them alike, it starts on that side.
+            # A shared window holds the anchor, and the gram before it or the one after (a
+            # shorter window may hold neither): with only one alike, it starts on that side.
             low = np.where(alike[0], 0, np.maximum(place - GRAM + 1, 0))
             high = np.where(alike[1], count, np.minimum(place - (length - 2 * GRAM) + 1, count))
             ask = (alike[0] | alike[1]) & (low < high)
@@ -218,48 +147,200 @@ def _refine(length: int):
     return run
 
 
-def _windows(length: int, buckets: int, unit: str):
+def depths(length: int) -> list[int]:
+    """Depths of the rounds: halves of ``length``, rounded up, while they hold a gram."""
+    out = [length]
+    while -(-out[0] // 2) > GRAM:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _offsets(rounds: list[int]) -> list[int]:
+    """Places in a window whose buckets of the first depth make up its full depth."""
+    out = [0]
+    for low, high in zip(reversed(rounds[:-1]), reversed(rounds[1:])):
+        out = sorted({o + d for o in out for d in (0, high - low)})
+    return out
+
+
+def _mail(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _MAIL.split(", ")])
+
+
+def _sent(ids: np.ndarray, sums: np.ndarray, row: np.ndarray, at: np.ndarray, keys: list[np.ndarray], shard: int, buckets: int) -> pa.RecordBatch:
+    """A shard's groups of equal keys, one entry each by bucket, and its suffixes.
+
+    An entry has the keys, the group's number, and its least and greatest id.
+    """
+    order = np.lexsort((ids[row], *keys))
+    new = groups(*(k[order] for k in keys))
+    begin = np.flatnonzero(new)
+    owner = ids[row[order]]
+    low, span = owner[begin], np.maximum.reduceat(owner, begin) - owner[begin]
+    # Groups are numbered in order of their first suffix, which packs well.
+    first = np.minimum.reduceat(order, begin)
+    by_first = np.argsort(first)
+    number = np.empty(len(begin), np.int64)
+    number[by_first] = np.arange(len(begin))
+    group = np.empty(len(row), np.int64)
+    group[order] = number[np.cumsum(new) - 1]
+    keys, low, span = [k[order][begin][by_first] for k in keys], low[by_first], span[by_first]
+    mixed = keys[0].astype(U)
+    for k in keys[1:]:
+        mixed = spans.joined(mixed, k.astype(U))
+    bucket = ((spans.mixed(mixed) >> U(20)) % U(buckets)).astype(np.int64)
+    sent = packs.dealt(bucket, [*(k.view(np.int64) for k in keys), span, np.arange(len(low)), low], len(keys) + 1)
+    used, index = np.unique(row, return_inverse=True)
+    head = packs.pack([ids[used], sums[used]], 0)
+    own = np.array([len(head)], "<i8").tobytes() + head + packs.pack([index, at, group], 0)
+    rows = [(b, shard, 0, p) for b, p in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist())]
+    return _mail([*rows, (shard % buckets, shard, 1, own)])
+
+
+def _shards(length: int, buckets: int):
+    """Asked windows as suffixes with their grams of the first depth."""
+    rounds = depths(length)
+    offsets = _offsets(rounds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sums = _batch_ids(batch)
-            data, bounds = read(batch.column(2), unit)
+            ids, sums = _numbers(batch)
+            data, bounds = text_bytes(batch.column(2))
             runs = batch.column(3)
             asked = np.asarray(runs.flatten()).astype(np.int64)
             row = np.repeat(np.arange(len(ids)), np.asarray(runs.value_lengths()))
-            hashes, docs, where = [], [], []
             order = np.lexsort((asked, row))
             starts, counts, row = asked[order] >> 8, asked[order] & 127, row[order]
-            for lo in range(0, len(row), 1 << 14):
-                r, s, c = row[lo : lo + (1 << 14)], starts[lo : lo + (1 << 14)], counts[lo : lo + (1 << 14)]
+            for lo in range(0, len(row), SHARD):
+                r, s, c = row[lo : lo + SHARD], starts[lo : lo + SHARD], counts[lo : lo + SHARD]
                 begin = bounds[r] + s
-                part, offsets = gathered(data, begin, begin + c + length - 1)
-                at = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                hashes.append(spans.window_hashes(grams(part, GRAM, unit), at, GRAM, length))
-                docs.append(np.repeat(r, c))
-                where.append(at - np.repeat(offsets[:-1], c) + np.repeat(s, c))
-            if not hashes:
-                continue
-            h, d, w = (np.concatenate(x) for x in (hashes, docs, where))
-            order = np.lexsort((ids[d], h))
-            gone = ids[d[order]] > _first_of(_groups(h[order]), ids[d[order]])
-            done = (d[order[gone]], _run(w[order[gone]], np.ones(gone.sum(), np.int64)))
-            rest = np.sort(order[~gone])
-            h, d, w = h[rest], d[rest], w[rest]
-            yield _deal(ids, sums, (spans.mixed(h) % U(buckets)).astype(np.int64), d, [h, w], _WINDOW, done, buckets)
+                part, upto = gathered(data, begin, begin + c + length - 1)
+                window = np.repeat(upto[:-1] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                at = np.unique(np.concatenate([window + o for o in offsets]))
+                piece = np.searchsorted(upto, at, side="right") - 1
+                hashes = spans.window_hashes(grams(part, GRAM, "bytes"), at, GRAM, rounds[0])
+                doc, where = r[piece], at - upto[piece] + s[piece]
+                # Runs may share suffixes.
+                key, keep = np.unique(doc.astype(np.int64) << 40 | where, return_index=True)
+                doc, where, hashes = key >> 40, key & int(_LOW40), hashes[keep]
+                told = [ids[doc], sums[doc], where]
+                shard = xxhash.xxh64_intdigest(b"".join(np.ascontiguousarray(x).tobytes() for x in told)) >> 1
+                yield _sent(ids, sums, doc, where, [hashes], shard, buckets)
 
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _by_bucket(batches)
-    for b in sorted(held):
-        ids, sums, (key, start), done = _gather(held.pop(b), _WINDOW)
-        yield _rows(*done)
-        if len(ids):
-            order = np.lexsort((ids, key))
-            ids, sums, start, key = ids[order], sums[order], start[order], key[order]
-            gone = ids > _first_of(_groups(key), ids)
-            yield _rows(ids[gone], sums[gone], _run(start[gone], np.ones(gone.sum(), np.int64)))
+def _resolved(keys: int, last: bool):
+    """Buckets answer every shard: pointers, or the least owner at full depth.
+
+    Only groups with several owners get an answer; the others are singletons.
+    """
+
+    def answers(bucket: int, mail: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
+        parts = [packs.unpack(p) for _, p in mail]
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        names, (span, number, low) = columns[:keys], columns[keys:]
+        sender = np.repeat(np.arange(len(mail)), [len(p[0]) for p in parts])
+        order = np.lexsort(names)
+        new = groups(*(k[order] for k in names))
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(low[order], begin)
+        live = least < np.maximum.reduceat((low + span)[order], begin)
+        value = least if last else np.cumsum(live)
+        which = np.cumsum(new) - 1
+        told = np.empty(len(order), np.int64)
+        told[order] = value[which]
+        alive = np.empty(len(order), bool)
+        alive[order] = live[which]
+        cuts = np.searchsorted(sender, np.arange(len(mail) + 1))
+        rows = []
+        for i, (shard, _) in enumerate(mail):
+            mine = np.flatnonzero(alive[cuts[i] : cuts[i + 1]]) + cuts[i]
+            if len(mine):
+                rows.append((bucket, shard, 0, packs.pack([told[mine], number[mine]], 1)))
+        return _mail(rows) if rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            own = batch.filter(pa.compute.equal(batch.column(2), 1))
+            if own.num_rows:
+                yield own
+            for b, shard, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind:
+                    continue
+                if b != now and held:
+                    if (out := answers(now, held)) is not None:
+                        yield out
+                    held = []
+                now = b
+                held.append((shard, payload))
+        if held and (out := answers(now, held)) is not None:
+            yield out
+
+    return run
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each shard's suffixes (ids, sums, row, place, group) with its answers (bucket, value, group)."""
+
+    def opened(shard: int, own: bytes, told: list[tuple[int, bytes]]) -> tuple:
+        size = int(np.frombuffer(own, "<i8", 1)[0])
+        parts = [(b, *packs.unpack(p)) for b, p in told]
+        bucket = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        value, number = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        return shard, *packs.unpack(own[8 : 8 + size]), *packs.unpack(own[8 + size :]), bucket, value, number
+
+    now, own, told = None, None, []
+    for batch in batches:
+        for b, shard, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if shard != now:
+                if own is not None and told:
+                    yield opened(now, own, told)
+                now, own, told = shard, None, []
+            if kind:
+                own = payload
+            else:
+                told.append((b, payload))
+    if own is not None and told:
+        yield opened(now, own, told)
+
+
+def _doubled(step: int, buckets: int):
+    """Suffixes of the next depth: those with a pointer at p and at p + step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, ids, sums, row, at, group, bucket, value, number in _by_shard(batches):
+            pointer = np.zeros(int(group.max()) + 1, np.int64)
+            pointer[number] = bucket.astype(np.int64) << 34 | value  # values begin at 1
+            mine = pointer[group]
+            key = row << 40 | at
+            other = np.searchsorted(key, key + step)
+            other[other == len(key)] = 0
+            both = (mine > 0) & (key[other] == key + step) & (mine[other] > 0)
+            if both.any():
+                yield _sent(ids, sums, row[both], at[both], [mine[both], mine[other[both]]], shard, buckets)
+
+    return run
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that an earlier document owns, as runs."""
+    for _, ids, sums, row, at, group, _, value, number in _by_shard(batches):
+        owner = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        owner[number] = value
+        gone = ids[row] > owner[group]
+        row, at = row[gone], at[gone]
+        if len(row):
+            key = row << 40 | at
+            begin = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+            count = np.diff(np.append(begin, len(key)))
+            # A run counts 64 windows at most.
+            times = -(-count // 64)
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            begin, count = np.repeat(begin, times) + 64 * part, np.minimum(np.repeat(count, times) - 64 * part, 64)
+            yield _rows(ids[row[begin]], sums[row[begin]], _run(at[begin], count))
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -271,7 +352,7 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     return docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
-        F.hash(F.col(text_col)).alias("sum"),
+        text_sum(F.col(text_col)).alias("sum"),
         F.col(text_col).cast("string").alias("text"),
     )
 
@@ -282,35 +363,35 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     ``docs`` comes from :func:`with_key`.  Returns ``doc_id``, ``sum`` and
     ``run``: the byte offset of the first window times 256, plus their number.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(4 * parts, 1 << 15)
+    if not GRAM < length < GRAM + 64:
+        raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 63}")
+    parts = packs.parts_for(docs)
+    buckets = packs.PER_PART * parts
     known = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
-    first = materialize(
-        known.mapInArrow(_entries(length, buckets), "bucket int, payload binary")
-        .repartition(parts, "bucket")
-        .mapInArrow(_refine(length), _RUN),
-        "runs",
-    )
+    entries = packs.exchanged(known.mapInArrow(_entries(length, buckets, CROWD), packs.PACKED), parts)
+    first = materialize(entries.mapInArrow(_refine(length, buckets), _RUN), "runs")
     refine = F.col("run").bitwiseAND(128) > 0
-    return first.where(~refine).unionAll(repeated_windows(docs, first.where(refine), length, "bytes"))
+    return first.where(~refine).unionAll(refined(docs, first.where(refine), length))
 
 
-def repeated_windows(docs: DataFrame, runs: DataFrame, length: int, unit: str) -> DataFrame:
+def refined(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """The windows of ``runs`` that also start, in ``runs``, in a smaller id.
 
-    ``docs`` has ``doc_id``, ``sum`` and ``text``; ``runs`` has ``doc_id``,
-    ``sum`` and ``run``.  Windows are compared one by one.
+    Rounds of pointer refinement: a shard's suffixes go to buckets, pointers
+    come back, and the next depth's keys are pairs of them.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(4 * parts, 1 << 15)
+    parts = packs.parts_for(docs)
+    buckets = packs.PER_PART * parts
     asked = runs.groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
-    return (
-        docs.join(asked, ["doc_id", "sum"])
-        .select("doc_id", "sum", "text", "runs")
-        .mapInArrow(_windows(length, buckets, unit), "bucket int, payload binary")
-        .repartition(parts, "bucket")
-        .mapInArrow(_settle, _RUN)
-    )
+    texts = docs.join(asked, ["doc_id", "sum"]).select("doc_id", "sum", "text", "runs")
+    mail = texts.mapInArrow(_shards(length, buckets), _MAIL)
+    rounds = depths(length)
+    for i, depth in enumerate(rounds):
+        last = depth == length
+        told = mail.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolved(1 if i == 0 else 2, last), _MAIL)
+        back = told.repartition(parts, "shard").sortWithinPartitions("shard")
+        mail = back.mapInArrow(_owned, _RUN) if last else back.mapInArrow(_doubled(rounds[i + 1] - depth, buckets), _MAIL)
+    return mail
 
 
 def keep_mask(size: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -368,14 +449,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id and text get the same result.  A row with a null id is kept whole and
     removes nothing.  Ids are integers.  An empty table gives an empty table.
 
-    Two different strings are taken for equal only if identifiers of 64 bits and
-    more agree (40 bits within an anchor's bucket of 24 bits and a shuffled one).
+    Two different strings are taken for equal only if their identifiers agree: 88
+    bits and the shuffled bucket (8 and more), or two hashes of 64 bits and a
+    bucket, one of each half.
     """
     base = with_key(docs, id_col, text_col)
     runs = repeated_runs(base, length).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
     joined = base.join(runs, ["doc_id", "sum"], "left").select("doc_id", "sum", "text", "runs")
     cut = joined.mapInArrow(
         _cut(length),
-        "doc_id bigint, sum int, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary",
+        "doc_id bigint, sum bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary",
     )
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -205,6 +205,73 @@ def test_remove_repeated_words(spark, docs):
     assert remove_repeated_words(df.limit(0)).count() == 0
 
 
+def removed(rows, length, step=None):
+    """Brute force: bytes (or words, with ``step``) that each text loses."""
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        tokens_ = (t or "").encode() if step is None else tuple(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+        gone = np.zeros(len(tokens_), bool)
+        for p in range(len(tokens_) - length + 1):
+            if seen.setdefault(tokens_[p : p + length], i) < i:
+                gone[p : p + length] = True
+        out[i] = int(gone.sum())
+    return out
+
+
+def test_pointers_double_over_several_rounds(spark, docs, monkeypatch):
+    import ledgerloom.llm.suffix as module
+
+    rows, df = docs
+    assert module.depths(50) == [25, 50] and module.depths(70) == [18, 35, 70]
+    assert module._offsets([18, 35, 70]) == [0, 17, 35, 52]
+    for length, crowd in ((70, 64), (50, 1), (40, 0)):
+        monkeypatch.setattr(module, "CROWD", crowd)  # at 0 every window goes by pointers
+        got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, length=length).collect()}
+        assert got == removed(rows, length)
+
+
+def test_compaction_decides_what_goes(spark, docs, monkeypatch):
+    import ledgerloom.llm.substring as module
+
+    rows, df = docs
+    want = removed(rows, 50, "words")
+    whole = {r["doc_id"]: r["n_removed"] for r in remove_repeated_words(df).collect()}
+    assert whole == want
+    real = module.compacted
+    monkeypatch.setattr(module, "compacted", lambda repeated: real(repeated).limit(0))
+    none = {r["doc_id"]: r["n_removed"] for r in remove_repeated_words(df).collect()}
+    assert none != want and sum(none.values()) < sum(want.values()) / 2
+
+
+def test_paths_join_edges_and_name_their_source(spark):
+    import ledgerloom.llm.substring as module
+
+    rng = random.Random(14)
+    words = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    long = words(900)
+    rows = [(1, " ".join(words(30) + long)), (2, " ".join(words(70) + long[:400])), (3, " ".join(long[200:] + words(9)))]
+    base = module.with_key(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    found = module.repeated_spans(base, 50)
+    spans_ = [r for r in found.collect() if r["count"] > 1]
+    # Ten and more edges became one span each, in step with the first document.
+    assert sorted((r["doc_id"], r["source_id"]) for r in spans_ if r["count"] > 150) == [(2, 1), (3, 1)]
+    assert all(r["source_start"] - r["start"] == {2: 30 - 70, 3: 230}[r["doc_id"]] for r in spans_)
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeated_words(base.select("doc_id", "text")).collect()} == {1: 0, 2: 400, 3: 700}
+    # A span whose words differ from its source's is not cut.
+    wrong = found.withColumn("source_start", F.col("source_start") + 1)
+    assert module.confirmed(base, wrong, 50).count() == 0 and module.confirmed(base, found, 50).count() == found.count()
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(15)
+    words = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    a, b, c = words(60), words(60), words(60)
+    rows = [(None, a), (1, a), (1, a), (1, b), (2, a + " " + c), (2, c), (3, b), (4, None), (4, ""), (5, c)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"sum": F.lit(1), "runs": F.lit("x"), "path": F.lit("p")})
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in remove_repeated_words(df).collect())
+    assert got == sorted([(0, 60, 0), (1, 60, 0), (1, 60, 0), (1, 60, 0), (2, 120, 60), (2, 60, 0), (3, 60, 60), (4, 0, 0), (4, 0, 0), (5, 60, 60)])
+
+
 def test_segments_cover_every_window_once():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 5000, dtype=np.uint8)
