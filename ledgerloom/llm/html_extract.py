@@ -1,11 +1,11 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides a block
-by where it stands (inside navigation, a footer, a form and the like it is
-boilerplate whatever it says), by link density, length and stop-word density.
-Blocks too short to tell stay open; in the second pass they inherit the label
-of the nearest decided blocks before and after them, within the same container
-where that has any.
+A page is cut into blocks at block-level tags.  The first pass scores a block by
+its length, its stop-word density and its link density; where it stands is one
+more feature (an article's element counts for it, a menu's, a footer's, a form's
+or an advert's against it).  Blocks too short to tell stay open; in the second
+pass they inherit the label of the nearest decided block, within the same
+container where that has any.
 """
 
 from __future__ import annotations
@@ -30,14 +30,21 @@ BOILER_TAGS = frozenset(
     "nav header footer aside form button select option datalist fieldset dialog menu head title script style noscript template "
     "iframe object applet canvas svg math audio video map textarea".split()
 )
-#: Words of a class, id or role that mark boilerplate.
+#: Words that, as a whole class, id or role, mark boilerplate.
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
     "copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination "
     "popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe tags teaser toolbar topbar widget alert contentinfo complementary dialog".split()
 )
-#: Words of a class, id or role that mark the article, which no outer word overrules.
+#: What such a word may be joined with, as in ``comment-list`` (but not in ``no-sidebar``).
+BOILER_PARTS = frozenset(
+    "area bar block bottom box column container content global group inner item items left links list main page panel posts primary "
+    "right row secondary section site slot text thread top unit wrap wrapper".split()
+)
+#: Those of reader comments, which may be articles by themselves.
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
+#: Words that, as a whole class, id or role, mark the article.
 ARTICLE_WORDS = frozenset("article content entry main post story".split())
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -58,8 +65,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
+#: Every attribute in turn, so that no name is looked for inside a value.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -73,21 +80,31 @@ class _Block:
         self.good: bool | None = None
 
 
+def _boiler_name(name: str) -> bool:
+    """Whether a class, id or role marks boilerplate: a word, or one with parts that only place it."""
+    parts = re.split("[-_]+", name)
+    return any(x in BOILER_WORDS for x in parts) and all(x in BOILER_WORDS or x in BOILER_PARTS or x.isdigit() for x in parts)
+
+
 def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is boilerplate, and whether it is the article, by itself."""
     boiler, article = tag in BOILER_TAGS, tag in ("article", "main")
     if attributes:
+        seen = set()
         for name, value in _ATTR.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
+            if name in seen:  # the first of a name counts
+                continue
+            seen.add(name)
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 boiler = True
             elif name == "style":
                 boiler |= "display:none" in re.sub(r"\s", "", value)
             elif name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-                words = set(_NAME.findall(value))
-                boiler |= bool(words & BOILER_WORDS)
-                article |= not boiler and bool(words & ARTICLE_WORDS)
-    return boiler, article
+                names = value.split()
+                boiler |= any(x in COMMENT_WORDS if tag == "article" else _boiler_name(x) for x in names)
+                article |= not boiler and any(x in ARTICLE_WORDS for x in names)
+    return boiler, article and not boiler
 
 
 def _collapsed(parts: list[str]) -> str:
@@ -176,55 +193,70 @@ def blocks(page: str) -> list[_Block]:
     return found
 
 
+def first_pass(b: _Block) -> bool | None:
+    """Label of a block by itself: good, bad, or open.
+
+    Text in sentences (stop words) and of some length counts for a block, links
+    against it; so does the container it stands in.
+    """
+    size = len(b.text)
+    words = _LETTERS.findall(b.text)
+    stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
+    score = 0
+    if size >= SHORT:
+        long = size >= LONG
+        # Long text without links may be in a language that has no stop words here.
+        score += 1 + long + (stops >= STOPS_HIGH) if stops >= STOPS_LOW else 2 if long and not b.linked else -1
+    # In an article short links and long quotations are no list of links.
+    if b.linked > ((0.9 if size < SHORT else 1.0) if b.inside else MOST_LINKS) * size:
+        score -= 6
+    score += 2 * (b.inside > 0 and size >= SHORT) - 9 * b.boiler
+    if score < 0 or size >= SHORT and score == 0 and b.linked:
+        return False
+    return True if score >= 2 else None
+
+
 def classify(page_blocks: list[_Block]) -> None:
     """Set ``good`` of every block in two passes."""
-    has_article = any(b.inside and not b.boiler for b in page_blocks)
     for b in page_blocks:
-        size = len(b.text)
-        if b.boiler or has_article and not b.inside:
-            b.good = False
-            continue
-        if b.inside:
-            # The page says that this is the article: only a list of links is not.
-            b.good = False if b.linked > 0.9 * size and size < SHORT and b.linked else (True if size >= SHORT else None)
-            continue
-        words = _LETTERS.findall(b.text)
-        stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.linked > MOST_LINKS * size:
-            b.good = False
-        elif size < SHORT:
-            b.good = None
-        elif stops >= STOPS_HIGH or stops >= STOPS_LOW and size >= LONG:
-            b.good = True
-        elif stops >= STOPS_LOW:
-            b.good = None
-        else:
-            b.good = size >= LONG and not b.linked
+        b.good = first_pass(b)
     _inherit(page_blocks)
 
 
+def _nearest(page_blocks: list[_Block], same: bool) -> list[bool | None]:
+    """For every open block the label of the nearest decided one, in its container with ``same``.
+
+    Of two as near the good one counts.  Blocks in boilerplate say nothing about
+    their neighbours.
+    """
+    out: list[bool | None] = [None] * len(page_blocks)
+    away = [0] * len(page_blocks)
+    for order in (range(len(page_blocks)), range(len(page_blocks) - 1, -1, -1)):
+        last: dict[int, tuple[int, bool]] = {}
+        for i in order:
+            b = page_blocks[i]
+            place = b.inside if same else 0
+            if b.good is None:
+                if place in last:
+                    at, label = last[place]
+                    far = abs(i - at)
+                    if out[i] is None or far < away[i] or far == away[i] and label:
+                        out[i], away[i] = label, far
+            elif not b.boiler:
+                last[place] = (i, b.good)
+    return out
+
+
 def _inherit(page_blocks: list[_Block]) -> None:
-    n = len(page_blocks)
-    before: list[bool | None] = [None] * n
-    last, where = None, None
+    near, anywhere = _nearest(page_blocks, True), _nearest(page_blocks, False)
+    has_article = any(b.inside and not b.boiler for b in page_blocks)
     for i, b in enumerate(page_blocks):
-        if b.inside != where:
-            last, where = None, b.inside
-        before[i] = last
-        if b.good is not None and not b.boiler:
-            last = b.good
-    last, where = None, None
-    for i in range(n - 1, -1, -1):
-        b = page_blocks[i]
-        if b.inside != where:
-            last, where = None, b.inside
-        if b.good is not None:
-            if not b.boiler:
-                last = b.good
-            continue
-        sides = [x for x in (before[i], last) if x is not None]
-        # Open blocks of an article with nothing decided are the article itself.
-        b.good = any(sides) if sides else bool(b.inside)
+        if b.good is None:
+            # Beside an article, only what stands near other text is text.
+            far = anywhere[i] if b.inside or not has_article else None
+            label = near[i] if near[i] is not None else far
+            # Open blocks of an article with nothing decided are the article itself.
+            b.good = bool(b.inside) if label is None else label
 
 
 def main_text(page: str | None) -> str:

@@ -87,6 +87,66 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def by_hand(found):
+    """Another writing of the two passes, for pages without containers: (text, characters in links)."""
+    stop = set("the of and a to in is that it was for on".split())
+    labels = []
+    for text, linked in found:
+        words = [w for w in text.split() if w.isalpha()]
+        share = sum(w in stop for w in words) / max(1, len(words))
+        if linked > len(text) / 2:
+            labels.append("bad")
+        elif len(text) < 70:
+            labels.append("open")
+        elif share >= 0.30 or (share >= 0.15 and len(text) >= 200) or (share < 0.15 and len(text) >= 200 and not linked):
+            labels.append("good")
+        elif share >= 0.15:
+            labels.append("open")
+        else:
+            labels.append("bad")
+    out = []
+    for i, label in enumerate(labels):
+        if label == "open":
+            ranked = sorted((abs(i - j), x != "good") for j, x in enumerate(labels) if x != "open")
+            label = "bad" if not ranked or ranked[0][1] else "good"
+        if label == "good":
+            out.append(found[i][0])
+    return "\n".join(out)
+
+
+def test_two_passes_equal_a_plain_writing_of_them():
+    rng = random.Random(21)
+    stop, plain = "the of and a to in is that".split(), [f"{c}{v}zq" for c in "bdfgklmnprst" for v in "aeiou"]
+    several = set()
+    for _ in range(400):
+        found, page = [], ""
+        for _ in range(rng.randrange(1, 9)):
+            share = rng.choice([0, 0.1, 0.2, 0.25, 0.4, 0.6])
+            words = [rng.choice(stop if rng.random() < share else plain) for _ in range(rng.choice([1, 3, 8, 14, 20, 45, 80]))]
+            linked = rng.choice([0, 0, 0, len(words) // 4, len(words)])
+            text, link = " ".join(words), " ".join(words[:linked])
+            found.append((text, len(link)))
+            tag = rng.choice(["p", "div", "li", "td", "h2"])
+            page += f"<{tag}>" + (f"<a href='x'>{link}</a> " if linked else "") + " ".join(words[linked:]) + f"</{tag}>"
+        got = main_text(f"<html><body>{page}</body></html>")
+        assert got == by_hand(found)
+        several.add((got == "", got.count("\n")))
+    assert len(several) > 5
+
+
+def test_names_are_read_whole():
+    long = ("the cat is on the mat and it was good " * 6).strip()
+    for open_tag in ('<div class="content no-sidebar">', '<article class="post has-comments">', '<article><p data-hidden="0">', '<article><div title="hidden gems">',
+                     '<article><div data-note="class=ad">', "<body class='login has-sidebar'><div>", '<div class="post with-ads">', "<div class='story' style='color: red'>"):
+        assert main_text(f"{open_tag}{long}") == long
+    for open_tag in ("<div class='comment-list'>", "<div id=site-footer>", "<div class='x cookie-notice'>", "<div role=navigation>", "<div hidden>", "<div class='ad-slot-3'>", "<article class='comment'>"):
+        assert main_text(f"{open_tag}{long}</div></article><p>{long} again") == f"{long} again"
+    assert main_text(f'<div class="content"><h2>Top</h2></div><div class="text">{long}</div>') == f"Top\n{long}"
+    tables = "<table><tr><td>" * 30 + long + "</td></tr></table>" * 30
+    assert main_text(f"<article>{tables}<p>end</article>") == f"{long}\nend"
+    assert main_text(f"<article><p>{'word ' * 300_000}</p></article>") == ("word " * 300_000).strip()
+
+
 def test_extraction_keeps_rows(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = extract_text(pages).collect()
