@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.components import connected_components
 from ledgerloom.plans import materialize
 
-#: Vectors a pivot stands for, and pivots at most (a sample of this bound is collected).
-PER_PIVOT, PIVOTS = 4096, 512
+#: Vectors that a pivot stands for in a label, until there are as many pivots as the
+#: square root of them; and bytes of all pivots, which are collected, at most.
+PER_PIVOT, PIVOT_BYTES = 4096, 64 << 20
 #: Vectors of a side of a block pair, about.
 BLOCK = 2048
 
@@ -129,12 +130,16 @@ def near_duplicate_vectors(
     ``component_id`` is the least id reachable (the row's own without links),
     ``kept`` says that it is the row's own.  Equal vectors of a label are one
     node and link with each other, so groups of copies cost nothing; rows that
-    repeat an id count each for itself.  An empty table gives an empty table.
-
-    Pivots are one vector in 4,096, 512 in all at most; cells that grow beyond
-    are joined in more blocks.  In high dimensions, where distances hardly
-    differ, most vectors are replicated to most cells of their label, and the
-    work grows with the square of the label's size.
+    repeat an id count each for itself, whatever their labels.  An empty table
+    gives an empty table.
+
+    A label of up to BLOCK vectors is one cell.  A larger one has two pivots and
+    more: one for PER_PIVOT vectors, later as many as the root of its size, with
+    PIVOT_BYTES for all labels; the number changes the work, not the result.
+    Cells that are large all the same are joined in more blocks.  In high
+    dimensions, where distances hardly differ, most vectors are replicated to
+    most cells of their label, and the work grows with the square of the label's
+    size.
     """
     base = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -143,14 +148,20 @@ def near_duplicate_vectors(
         & F.exists("embedding", lambda x: x != 0), F.lit(False),
     )
     nodes = materialize(
-        base.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-        .withColumn("dim", F.size("embedding")),
+        base.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+        .withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}),
         "nodes",
     )
-    n = nodes.count()
-    every = max(PER_PIVOT, -(-n // PIVOTS))
     reach = float(np.sqrt(max(2 - 2 * least_cosine, 0))) + 1e-9
-    chosen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).orderBy(F.xxhash64("node")).limit(PIVOTS)
+    wanted = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn(
+        "want", F.greatest(F.lit(2.0), F.least(F.sqrt("n"), F.col("n") / PER_PIVOT))
+    )
+    # A hash chooses about as many as wanted; some more of few, so that there are two.
+    wanted = materialize(wanted.withColumn("want", F.col("want") + 2 * F.sqrt("want")), "wanted")
+    size = wanted.agg(F.sum(F.col("want") * F.col("dim") * 8)).first()[0] or 0
+    share = F.col("want") * min(1.0, PIVOT_BYTES / max(size, 1)) / F.col("n")
+    drawn = F.xxhash64("node", F.lit("pivot")).bitwiseAND((1 << 62) - 1) / float(1 << 62)
+    chosen = nodes.join(wanted, ["label", "dim"]).where(drawn < share)
     found: dict[tuple, list] = {}
     for r in chosen.select("label", "dim", "embedding").collect():
         found.setdefault((r[0], r[1]), []).append(r[2])
@@ -169,13 +180,15 @@ def near_duplicate_vectors(
     sent = dealt.where("home").select(*keep, mine.alias("b"), F.explode(upto("n_other")).alias("c"), F.lit(True).alias("role")).unionAll(
         dealt.select(*keep, F.explode(upto("n_home")).alias("b"), theirs.alias("c"), F.lit(False).alias("role"))
     )
-    blocks = sent.groupBy(*cell, "b", "c").applyInArrow(_join_block(least_cosine), f"node {kinds['node']}, links bigint, root {kinds['node']}")
+    blocks = sent.groupBy(*cell, "b", "c").applyInArrow(_join_block(least_cosine), "node bigint, links bigint, root bigint")
     blocks = materialize(blocks, "blocks")
     roots = connected_components(blocks, "node", "root")
     counts = blocks.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     known = (
-        nodes.join(counts, "node", "left").join(roots, "node", "left")
-        .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+        joined.join(named, "root").join(counts, "node", "left")
+        .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     )
     linked = base.where(usable).join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~usable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -324,3 +324,13 @@ def test_embeddings(spark):
     finally:
         module.PER_PIVOT, module.BLOCK = kept
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_embeddings_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 0), (3, [0.0, 3.0], 1), (3, [0.0, 3.0], 1), (None, [1.0, 0.0], 0), (9, None, 0), (9, [1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted((-1 if r[0] is None else r[0], r[1], r[2] or 0, r[2], r[3]) for r in near_duplicate_vectors(df).collect())
+    by = {}
+    for v, n, _, c, k in got:
+        by.setdefault(v, []).append((n, c, k))
+    assert by == {-1: [(0, None, True)], 0: [(2, 0, True)], 1: [(2, 0, False), (2, 1, True)], 2: [(2, 0, False)], 3: [(2, 1, False), (2, 1, False)], 9: [(0, 9, True), (0, 9, True)]}
