@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import spans
 from ledgerloom.llm.spans import U
 
-#: Labelled texts that are learned from at most, and bytes of them (both are bounds on a sample).
+#: Labelled texts that are learned from at most, and bytes of them (both are bounds on a
+#: sample); every language has a share of them, so only languages past so many texts go unlearned.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 4 << 20
-#: Languages at most, the most frequent ones.
-LANGUAGES = 128
+#: Numbers of an array of words by languages, about; texts are worked on in pieces of that.
+WORK = 1 << 21
 #: Hashed features; a power of two.
 WIDTH = 1 << 16
 #: Length of a training sequence, and the mean stretch of one language in it.
@@ -220,6 +221,15 @@ def _pick(rng: np.random.Generator, label: np.ndarray, share: np.ndarray, k: int
 
 def _step(model: Model, at: np.ndarray, label: np.ndarray, fixed: np.ndarray, grams: np.ndarray, upto: np.ndarray, log_moves: np.ndarray, log_starts: np.ndarray, sums: list[np.ndarray], rate: float = 0.2) -> None:
     """One gradient step on the sequences of words ``at``."""
+    slopes = gradient(model, at, label, fixed, grams, upto)
+    for value, g, total in zip((model.weights, log_moves, log_starts), slopes, sums):
+        total += g * g
+        value += rate * g / np.sqrt(total)
+    model.moves, model.starts = np.exp(log_moves), np.exp(log_starts)
+
+
+def gradient(model: Model, at: np.ndarray, label: np.ndarray, fixed: np.ndarray, grams: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope of the sequences' mean log-likelihood in the weights, the moves' and the starts' weights."""
     m, length = at.shape
     k = len(model.languages)
     flat = at.ravel()
@@ -227,7 +237,6 @@ def _step(model: Model, at: np.ndarray, label: np.ndarray, fixed: np.ndarray, gr
     near = np.concatenate([[0], np.cumsum(count)])
     gram = grams[np.repeat(upto[flat] - near[:-1], count) + np.arange(near[-1])]
     scores = _scores(model.weights, fixed[flat], gram, near)
-    offsets = np.arange(m + 1) * length
     want = np.zeros((len(flat), k))
     want[np.arange(len(flat)), label[flat]] = 1
     # Expected labels and moves.
@@ -253,34 +262,98 @@ def _step(model: Model, at: np.ndarray, label: np.ndarray, fixed: np.ndarray, gr
         slope[:, c] = column + np.bincount(gram, np.repeat(error[:, c] / count, count), WIDTH)
     moved = (np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:]) - pair.sum(axis=(0, 1))) / m
     began = (gold[:, 0] - post[:, 0]).sum(axis=0) / m
-    for value, g, total in ((model.weights, slope, sums[0]), (log_moves, moved, sums[1]), (log_starts, began, sums[2])):
-        total += g * g
-        value += rate * g / np.sqrt(total)
-    del offsets
-    model.moves, model.starts = np.exp(log_moves), np.exp(log_starts)
+    return slope, moved, began
+
+
+def _chain(model: Model, scores: np.ndarray, ahead: np.ndarray | None, behind: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """A stretch of one text: where forward leaves it, and, given ``behind``, expected words and where backward leaves it.
+
+    ``ahead`` is the distribution at the word before (None at the text's
+    beginning), ``behind`` the backward vector of the stretch's last word.
+    """
+    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
+    fore = np.empty_like(emit)
+    now = model.starts if ahead is None else ahead @ model.moves
+    for t in range(len(emit)):
+        now = (now if t == 0 else now @ model.moves) * emit[t]
+        now = now / now.sum()
+        fore[t] = now
+    if behind is None:
+        return now, None, None
+    total = np.zeros(len(model.languages))
+    for t in range(len(emit) - 1, -1, -1):
+        both = fore[t] * behind
+        total += both / both.sum()
+        behind = (behind * emit[t]) @ model.moves.T
+        behind = behind / behind.sum()
+    return now, total, behind
+
+
+def _long_text(model: Model, data: np.ndarray, piece: int) -> tuple[np.ndarray, int]:
+    """Expected words of each language in a text, and its words, in pieces of about ``piece`` bytes.
+
+    Forward goes through all pieces and keeps its vector between them; backward
+    comes back and works each piece out again.
+    """
+    cuts = [0]
+    while cuts[-1] < len(data):
+        at = min(cuts[-1] + piece, len(data))
+        while at < len(data):  # on to the end of a word
+            gap = np.flatnonzero(_SPACE[data[at : at + piece]])
+            at += int(gap[0]) if len(gap) else min(piece, len(data) - at)
+            if len(gap):
+                break
+        cuts.append(at)
+
+    def scores(i: int) -> np.ndarray:
+        part = _lowered(data[cuts[i] : cuts[i + 1]])
+        begin, end, _ = words_of(part, np.array([0, len(part)]))
+        return _word_scores(model, part, begin, end)
+
+    ahead: list[np.ndarray | None] = [None]
+    total, n = np.zeros(len(model.languages)), 0
+    for i in range(len(cuts) - 1):
+        found = scores(i)
+        n += len(found)
+        ahead.append(_chain(model, found, ahead[-1], None)[0] if len(found) else ahead[-1])
+    behind = np.ones(len(model.languages))
+    for i in range(len(cuts) - 2, -1, -1):
+        found = scores(i)
+        if len(found):
+            _, expected, behind = _chain(model, found, ahead[i], behind)
+            total += expected
+    return total, n
+
+
+def _word_scores(model: Model, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    scores = np.empty((len(begin), len(model.languages)))
+    for lo in range(0, len(begin), 1 << 15):
+        part = slice(lo, lo + (1 << 15))
+        scores[part] = _scores(model.weights, *word_features(*_window(data, begin[part], end[part])))
+    return scores
 
 
 def predict_texts(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and share of expected words for every text of an Arrow column."""
-    from ledgerloom.llm.tokens import PIECE, text_bytes
+    from ledgerloom.llm.tokens import text_bytes
 
     data, bounds = text_bytes(column)
     n, k = len(column), len(model.languages)
     names, share = [UNKNOWN] * n, np.zeros(n)
+    piece = max(WORK // max(k, 1), 1 << 12)
     low = 0
     while low < n and k:
-        high = int(np.searchsorted(bounds, bounds[low] + 4 * PIECE, side="right")) - 1
-        high = min(max(high, low + 1), n)
-        part = _lowered(data[bounds[low] : bounds[high]])
-        inner = bounds[low : high + 1] - bounds[low]
-        begin, end, offsets = words_of(part, inner)
-        scores = np.empty((len(begin), k))
-        for lo in range(0, len(begin), 1 << 16):
-            scores[lo : lo + (1 << 16)] = _scores(model.weights, *word_features(*_window(part, begin[lo : lo + (1 << 16)], end[lo : lo + (1 << 16)])))
-        post = posteriors(model, scores, offsets)
-        upto = np.concatenate([np.zeros((1, k)), np.cumsum(post, axis=0)])
-        total = upto[offsets[1:]] - upto[offsets[:-1]]
-        size = np.diff(offsets)
+        high = int(np.searchsorted(bounds, bounds[low] + 2 * piece, side="right")) - 1
+        if high <= low:  # a text that is longer by itself
+            high = low + 1
+            total, size = _long_text(model, data[bounds[low] : bounds[high]], piece)
+            total, size = total[None], np.array([size])
+        else:
+            part = _lowered(data[bounds[low] : bounds[high]])
+            begin, end, offsets = words_of(part, bounds[low : high + 1] - bounds[low])
+            post = posteriors(model, _word_scores(model, part, begin, end), offsets)
+            upto = np.concatenate([np.zeros((1, k)), np.cumsum(post, axis=0)])
+            total, size = upto[offsets[1:]] - upto[offsets[:-1]], np.diff(offsets)
         for i in np.flatnonzero(size):
             best = int(total[i].argmax())
             names[low + i], share[low + i] = model.languages[best], min(1.0, total[i, best] / size[i])
@@ -306,10 +379,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[
     fit_rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.coalesce(ids % 3, F.lit(1)) != 1))
     by = fit_rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"))
     small = by.where(F.octet_length("t") <= SAMPLE_BYTES // 64)
-    counts = small.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    counts = small.groupBy("l").count().orderBy(F.desc("count"), "l").limit(SAMPLE_TEXTS).collect()
     if not counts:
         return [], []
-    each = max(2, SAMPLE_TEXTS // len(counts))
+    each = max(1, SAMPLE_TEXTS // len(counts))
     # The hashes below a cut are a few more than wanted; the surplus goes here.
     cuts = [(r[0], min((1 << 63) - 1, int((1.2 * each + 10) / r[1] * 2**63))) for r in counts]
     chosen = small.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, cut bigint")), "l")

@@ -56,6 +56,64 @@ def test_letters_are_those_of_unicode():
     assert apart == plain
 
 
+def test_gradient_is_the_slope_of_the_likelihood():
+    import itertools
+
+    from ledgerloom.llm.langid import gradient
+
+    rng = np.random.default_rng(4)
+    k, width, n = 3, 12, 9
+    model = Model(["a", "b", "c"], rng.normal(size=(width, k)), np.ones((k, k)), np.ones(k))
+    log_moves, log_starts = rng.normal(size=(k, k)), rng.normal(size=k)
+    label = rng.integers(k, size=n)
+    fixed, grams, upto = rng.integers(width, size=(n, 6)), rng.integers(width, size=20), np.sort(np.concatenate([[0, 20], rng.choice(np.arange(1, 20), n - 1, replace=False)]))
+    at = rng.integers(n, size=(2, 4))
+
+    def likelihood(weights, moves, starts):
+        score = np.array([weights[fixed[i]].sum(axis=0) + weights[grams[upto[i] : upto[i + 1]]].mean(axis=0) for i in range(n)])
+        of = lambda row, path: starts[path[0]] + sum(score[i, c] for i, c in zip(row, path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))
+        return np.mean([of(row, label[row]) - np.log(sum(np.exp(of(row, p)) for p in itertools.product(range(k), repeat=4))) for row in at])
+
+    import ledgerloom.llm.langid as module
+
+    model.moves, model.starts = np.exp(log_moves), np.exp(log_starts)
+    kept, module.WIDTH = module.WIDTH, width
+    try:
+        slopes = gradient(model, at, label, fixed, grams, upto)
+    finally:
+        module.WIDTH = kept
+    values = [model.weights, log_moves, log_starts]
+    for which, slope in enumerate(slopes):
+        for place in np.ndindex(slope.shape):
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = [v.copy() for v in values]
+                moved[which][place] += step
+                sides.append(likelihood(*moved))
+            assert abs((sides[0] - sides[1]) / 2e-5 - slope[place]) < 1e-6
+
+
+def test_long_texts_go_in_pieces(monkeypatch):
+    import ledgerloom.llm.langid as module
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["tion the ing", "que eau ière", "der und ßen", "12", "—"]) for _ in range(n)) for n in (3000, 1, 900)] + ["x" * 30_000, "é" * 9000 + " the", "", None]
+    model = fit(["the ing tion er", "que eau ment", "der und ßen"] * 5, ["a", "b", "c"] * 5)
+    whole = predict_texts(model, pa.array(texts))
+    monkeypatch.setattr(module, "WORK", 1)
+    parts = predict_texts(model, pa.array(texts))
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1]) and whole[0][-2:] == ["und", "und"]
+
+
+def test_every_language_of_the_sample_is_learned(spark):
+    rows = [(i, f"w{i % 150}x lang{i % 150} of{i % 150}", f"l{i % 150:03}") for i in range(600)] + [(7, "w7x", "l007"), (7, "w7x", "l007"), (None, "w3x", "l003")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = identify(df).collect()
+    assert len(got) == len(rows) and len({r["lang_pred"] for r in got}) > 140
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {True}
+    assert len({tuple(r) for r in got if r["doc_id"] == 7 and r["text"] == "w7x"}) == 1
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     wide = docs.withColumn("score", F.lit("clash"))
