@@ -128,6 +128,30 @@ fit as (
   from (select distinct host, path from parts) join rules
     on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
 select page_id, p.host, p.path, rule, coalesce(rv, 'allow') as verdict from parts p left join fit f on p.host = f.host and p.path = f.path
+""",
+    "op4_decontamination": r"""
+with item as (
+  select row_number() over () as i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from benchmark where text is not null),
+sized as (select i, item_id, w, least(len(w), 5) as k, len(w) - least(len(w), 5) + 1 as m from item where len(w) > 0),
+item_gram as (
+  select i, item_id, k, m, g, count(*) as c
+  from (select i, item_id, k, m, array_to_string(w[p:p + k - 1], ' ') as g from sized, unnest(range(1, m + 1)) as t(p)) group by all),
+doc as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents where text is not null),
+doc_gram as (
+  select r, k, len(w) - k + 1 as d, p - 1 as pos, array_to_string(w[p:p + k - 1], ' ') as g
+  from doc, (select distinct k from sized), unnest(range(1, len(w) - k + 2)) as t(p)),
+hit as (select r, i, item_id, k, m, c, d, least(m, d) as size, pos, g from doc_gram join item_gram using (k, g)),
+inside as (
+  select r, i, item_id, k, m, size, s, g, least(count(*), max(c)) as both_g
+  from hit, unnest(range(greatest(0, pos - size + 1), least(pos, d - size) + 1)) as t(s) group by all),
+scored as (select r, i, item_id, k, m, s, sum(both_g) as common, any_value(size) as size from inside group by r, i, item_id, k, m, s),
+found as (
+  select r, item_id, k, m, s, common / (m + size - common) as similarity from scored where common / (m + size - common) >= 0.8),
+best as (
+  select r, item_id, k, arg_max(struct_pack(sim := similarity, s := s, m := m), struct_pack(a := similarity, b := -s)) as b
+  from found group by r, item_id, k)
+select distinct doc_id, item_id, b.sim as similarity, cast(b.s as integer) as start, cast(b.m + k - 1 as integer) as n_words from best join doc using (r)
 """,
     "op5_warc_audit": r"""
 with rec as (

@@ -128,6 +128,58 @@ def test_decontamination_equals_brute_force(spark):
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_ways_agree(spark, monkeypatch):
+    """Joined and looked-up shingles give the same on a whole corpus, repetitive texts included."""
+    from ledgerloom.llm import decontaminate as module
+
+    rng = random.Random(6)
+    text = lambda n, of: " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+    items = [(1, text(30, 200)), (1, text(20, 200)), (None, text(25, 200)), (2, "r " * 40), (3, text(60, 3)), (2, "r " * 40)]
+    docs = [(i, text(40, 200) + " " + items[i % 4][1][: -(i % 9)] + " " + text(i, 3)) for i in range(1, 40)] + [(50, "r " * 700), (51, text(300, 3)), (None, items[0][1]), (None, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    key = lambda rows: sorted(map(repr, rows))
+    first = key(contaminated(df, bench).collect())
+    for constants, rows in ((1, 1), (1, 10**6)):
+        monkeypatch.setattr(module, "CONSTANTS", constants)
+        monkeypatch.setattr(module, "BROADCAST_ROWS", rows)
+        assert key(contaminated(df, bench).collect()) == first
+    plain = brute_leaks([d for d in docs if d[0] is not None], [(i, t) for i, t in items if i in (3,)])
+    assert {(d, i): v for (d, i), v in plain.items()} == {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in contaminated(df.where("doc_id is not null"), bench.where("item_id = 3")).collect()}
+    assert len(first) > 25 and any("item_id=None" in r for r in first)
+
+
+def test_hamming_blocks_find_all_within_the_radius_and_few_else(spark):
+    from ledgerloom.llm import decontaminate as module
+
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(300):  # at the radius, spread over all blocks
+        x = rng.getrandbits(64)
+        pairs.append((x, x ^ sum(1 << b for b in rng.sample(range(64), module.RADIUS)), True))
+    pairs += [(rng.getrandbits(64), rng.getrandbits(64), False) for _ in range(1500)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(i, signed(a), signed(b), near) for i, (a, b, near) in enumerate(pairs)], "i int, a bigint, b bigint, near boolean")
+    left = df.select("i", "near", F.inline(module.fingerprint_blocks(F.col("a"), module.NEAR)))
+    right = df.select("i", F.inline(module.fingerprint_blocks(F.col("b"))))
+    met = {r["near"]: r["n"] for r in left.join(right, ["i", "block", "value"]).select("i", "near").distinct().groupBy("near").agg(F.count("*").alias("n")).collect()}
+    assert met[True] == 300 and met[False] < 0.25 * 1500
+
+
+def test_fingerprints_of_very_many_shingles(spark):
+    from ledgerloom.llm import decontaminate as module
+
+    df = spark.range(1).select(F.expr("transform(sequence(1, 72000), x -> xxhash64(x % 3 = 0, x % 2))").alias("h"))
+    few = df.select(F.slice("h", 1, 60).alias("h"))  # the same shares of hashes
+    assert df.select(module.simhash(F.col("h"))).first() == few.select(module.simhash(F.col("h"))).first()
+
+
+def test_repetitive_text_makes_no_large_arrays(spark):
+    df = spark.createDataFrame([(1, "a " * 200_000), (2, "b c " * 3000 + "a " * 2000)], "doc_id int, text string")
+    bench = spark.createDataFrame([(1, "a " * 2000)], "item_id int, text string")
+    got = {r["doc_id"]: (r["similarity"], r["start"], r["n_words"]) for r in contaminated(df, bench).collect()}
+    assert got == {1: (1.0, 0, 2000), 2: (1.0, 6000, 2000)}
+
+
 def test_decontamination_joins_when_the_benchmark_is_large(spark, monkeypatch):
     from ledgerloom.llm import decontaminate as module
 
