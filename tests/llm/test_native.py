@@ -208,3 +208,64 @@ def test_warc_audit(spark):
     assert audit(none, none).count() == 0 and audit(first, none).count() == len(rows)
     form = shape(first)
     assert root_hash(tree(first, form)) == root_hash(tree(archive(spark, rows[::-1]), form))
+
+
+def test_warc_files_read_back(spark, tmp_path):
+    import datetime
+
+    from ledgerloom.llm.warc import file_leaves, packed_record, parse_records, read_warc, record_uuid
+
+    rows = [(i, f"http://h/{i}", f"<p>{'é' * i} body {i}\r\n\r\nWARC/1.0</p>") for i in range(70)] + [(70, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    when = F.lit(datetime.datetime(2024, 5, 6, 7, 8, 9))
+    record = warc_record(F.col("url"), F.col("html"), record_uuid(F.col("page_id"), F.col("url")), when)
+    raw = [r[0].encode() for r in df.select(record).orderBy("page_id").collect()]
+    made = raw[5].split(b"\r\n")
+    assert made[0] == b"WARC/1.0" and made[2].startswith(b"WARC-Record-ID: <urn:uuid:") and len(made[2]) == len("WARC-Record-ID: <urn:uuid:>") + 36
+    assert made[3] == b"WARC-Date: 2024-05-06T07:08:09Z"
+
+    def replica(name, change=None, pad=None, pack=False):
+        folder = tmp_path / name
+        folder.mkdir()
+        for part in range(2):
+            data = b""
+            for i in range(part * 40, min(part * 40 + 40, len(raw))):
+                one = raw[i].replace(b"body", b"b0dy") if i == change else raw[i]
+                data += (b"\0" * 7 if i == pad else b"") + (packed_record(one) if pack else one)
+            (folder / f"part{part}.warc{'.gz' if pack else ''}").write_bytes(data)
+        return read_warc(spark, str(folder))
+
+    whole = replica("a")
+    got = {r["uri"]: (r["block"].decode(), r["intact"], r["type"], r["end"] - r["begin"]) for r in whole.collect()}
+    assert got == {u or "": (h or "", True, "resource", len(raw[i])) for i, u, h in rows}
+    packed = replica("p", pack=True).collect()
+    assert {r["uri"]: r["block"].decode() for r in packed} == {u or "": h or "" for _, u, h in rows}
+    assert [list(parse_records(b)) for b in (b"", b"junk", raw[3][:-20])] == [[]] * 3
+    first = file_leaves(whole)
+    assert audit(first, file_leaves(replica("b"))).count() == 0
+    hurt = audit(first, file_leaves(replica("c", change=17))).collect()
+    assert [r["place"] for r in hurt] == [17] and hurt[0]["left_hash"] != hurt[0]["right_hash"]
+    padded = audit(first, file_leaves(replica("d", pad=50))).collect()  # moved, with the same bytes
+    assert [(r["place"], r["left_hash"] == r["right_hash"]) for r in padded] == [(10, True)]
+    assert [r["intact"] for r in replica("e", change=3).collect()].count(False) == 1
+
+
+def test_audit_plan_does_not_grow_with_levels(spark):
+    sizes = []
+    for n in (40, 70_000):
+        ids = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("record"))
+        other = ids.withColumn("record", F.when(F.col("page_id") == n - 1, "x").otherwise(F.col("record")))
+        found = audit(leaves(ids, "page_id", "record"), leaves(other, "page_id", "record"))
+        sizes.append(found._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        assert [r["id"] for r in found.collect()] == [n - 1]
+    assert sizes[0] == sizes[1] <= 3
+
+
+def test_long_urls_and_hosts(spark):
+    rules = rules_table(spark, [("a.b", "/x", "block"), ("", "/", "block"), ("c", "/", "block")])
+    urls = ["http://" + "l." * 5000 + "a.b/x" + "y" * 100_000, "http://" + "a.b." * 3000 + "c", "http://b/x", "///", "http:///x"] + [None] * 3
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(df, rules).collect()}
+    assert got == {0: ("a.b/x", "block"), 1: (None, "allow"), **dict.fromkeys(range(2, 8), (None, "allow"))}
+    plan = filter_urls(df, rules)._jdf.queryExecution().toString()
+    assert "Python" not in plan.split("== Physical Plan ==")[1].split("LocalTableScan")[0]
