@@ -1,7 +1,8 @@
 """URL filters by host-suffix and path-prefix expressions.
 
-Each distinct (host, path) expands into every host suffix on a label boundary
-times every path prefix of a length that some rule has.  Expressions meet rules
+Each distinct (host, path) expands into the host suffixes with as many labels as
+some rule's host has, times the path prefixes of a length that some rule has, so
+a long host or path makes no more of them.  Expressions meet rules
 in an equi-join on the first 32 bits of their SHA-256; the full digest then
 confirms the match and the longest rule decides.  Everything is SQL functions.
 """
@@ -28,7 +29,10 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Rules as rows (host, path, verdict); verdict is ``allow`` or ``block``."""
-    return spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
+    names = ("rule_host", "rule_path", "rule_verdict")
+    row = lambda r: F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, r)))
+    one = spark.range(1).select(F.explode(F.array(*map(row, rules or [(None,) * 3]))).alias("r")).select("r.*")
+    return one if rules else one.limit(0)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -41,33 +45,34 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     and path.  Rules with a null part never fit.  Existing columns of the four
     names are replaced.  Repeated URLs are judged once.
 
-    Only the distinct lengths of rule paths come to the driver: at most as many
-    numbers as the longest rule path has characters.
+    Rules without a host never fit.
+
+    Only the distinct lengths of rule paths and numbers of labels of rule hosts
+    come to the driver: at most as many numbers as the longest of either has.
     """
     host, path = split_url(F.col(url_col))
     pages = pages.drop("rule", "verdict")
     cut = pages.withColumns({"host": host, "path": path})
     rules = (
-        rules.where("rule_host is not null and rule_path is not null and rule_verdict is not null")
+        rules.where("rule_host <> '' and rule_path is not null and rule_verdict is not null")
         .withColumn("rule", F.concat("rule_host", "rule_path"))
         .withColumn("digest", F.sha2("rule", 256))
         .groupBy("rule", "digest", "rule_host")
         .agg(F.max("rule_verdict").alias("rule_verdict"))
         .withColumn("short", F.substring("digest", 1, PREFIX))
     )
-    lengths = sorted(
-        r[0] for r in rules.select(F.length("rule") - F.length("rule_host")).distinct().collect()
-    )
+    shapes = rules.select((F.length("rule") - F.length("rule_host")).alias("n"), F.size(F.split("rule_host", r"\.")).alias("labels"))
+    found = shapes.agg(F.collect_set("n").alias("n"), F.collect_set("labels").alias("labels")).first()
+    lengths, labels = sorted(found["n"]), sorted(found["labels"])
     if not lengths:
         return cut.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice(F.col("labels"), i, F.size("labels")), ".")
-    )
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
+    suffixes = F.array_compact(F.array(*(F.when(dots >= n - 1, F.substring_index("host", ".", -n)) for n in labels)))
     prefixes = F.array_compact(
         F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths))
     )
-    urls = cut.select("host", "path").distinct().withColumn("labels", labels)
+    # A URL without a host meets no rule, however many there are.
+    urls = cut.where("host <> ''").select("host", "path").distinct()
     sent = (
         urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
         .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
@@ -79,8 +84,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(rank.alias("rank"), F.col("rule"), F.col("rule_verdict").alias("verdict"))).alias("best")
     )
-    return (
-        cut.join(best, ["host", "path"], "left")
+    judged = (
+        cut.where("host <> ''").join(best, ["host", "path"], "left")
         .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
         .drop("best")
     )
+    free = cut.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    return judged.select(*cut.columns, "rule", "verdict").unionAll(free)
