@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,6 +22,13 @@ _RECORD = Struct(
 )
 
 
+#: Columns of a table of records; the signature is null where there is none.
+RECORD_COLUMNS = (
+    "log_id string, pos bigint, id binary, space binary, thread binary, time decimal(20,0), author string, author_type string, kind string, "
+    "schema binary, data binary, refs array<struct<type:string,target:binary>>, evidence string, signature struct<key_id:string,sig:binary>"
+)
+
+
 @dataclass(frozen=True)
 class Record:
     """One record of a log; ``refs`` are (type, target) pairs in stored order."""
@@ -73,6 +81,26 @@ class Record:
         key = self.signature and unhex(self.signature[0])
         return key if key and ed25519.verify(key, self.signing_bytes(dialect), self.signature[1]) else None
 
+    def row(self, log_id: str, pos: int) -> tuple:
+        """The record as a row of RECORD_COLUMNS."""
+        refs = [{"type": t, "target": x} for t, x in self.refs]
+        signature = self.signature and {"key_id": self.signature[0], "sig": self.signature[1]}
+        return (
+            log_id, pos, self.id, self.space, self.thread, decimal.Decimal(self.time), self.author, self.author_type, self.kind, self.schema, self.data,
+            refs, self.evidence, signature,
+        )
+
+    @classmethod
+    def from_row(cls, r: Any) -> Record:
+        """A record from a row that has the columns' names as attributes."""
+        part = lambda x, name: x[name] if isinstance(x, dict) else getattr(x, name)
+        signed = getattr(r, "signature", None)
+        signature = (part(signed, "key_id"), bytes(part(signed, "sig"))) if isinstance(signed, (dict, tuple)) else None
+        refs = tuple((part(x, "type"), bytes(part(x, "target"))) for x in r.refs)
+        return cls(
+            bytes(r.id), bytes(r.space), bytes(r.thread), int(r.time), r.author, r.author_type, signature, r.kind, bytes(r.schema), bytes(r.data), refs, r.evidence
+        )
+
     def targets(self, *types: str) -> list[bytes]:
         return [x for t, x in self.refs if t in types]
 

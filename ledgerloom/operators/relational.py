@@ -6,22 +6,21 @@ position of a log is then its verdict.  Up to there all earlier verdicts were
 right, so the assumed state is the replayed one; later positions don't count.
 
 ``records`` is the table that the sources make: log_id, pos, id, space, thread,
-time, author, author_type, kind, schema, data, refs and evidence.  All joins
+time, author, author_type, kind, schema, data, refs, evidence and signature.  All joins
 carry ``log_id``.  Payload fields are read from the canonical JSON bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.records import Record, Rules
+from ledgerloom.functions.canonical import loads
+from ledgerloom.functions.records import Record, Rules, payload
 from ledgerloom.functions.schemas import EVIDENCE, REF_TYPES, Dialect
 from ledgerloom.operators.graph import taint_times
-from ledgerloom.operators.judge import replay
+from ledgerloom.operators.judge import Ledger, replay
 
 
 def _field(name: str) -> Column:
@@ -128,17 +127,45 @@ def verify_logs(records: DataFrame, rules: Rules, dialect: Dialect) -> DataFrame
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos").itertuples(index=False)
-        verdict = replay(list(_records(rows)), rules, dialect)
+        verdict = replay(_records(pdf), rules, dialect)
         return pd.DataFrame([(pdf["log_id"].iloc[0], "Accept" if verdict.accepted else "Reject", verdict.reason, verdict.checked)], columns=["log_id", "result", "reason", "checked"])
 
     return records.groupBy("log_id").applyInPandas(run, "log_id string, result string, reason string, checked bigint")
 
 
-def _records(rows: Iterator) -> Iterator[Record]:
-    for r in rows:
-        signed = getattr(r, "signature", None)
-        refs = tuple((x["type"], bytes(x["target"])) for x in r.refs)
-        yield Record(
-            bytes(r.id), bytes(r.space), bytes(r.thread), int(r.time), r.author, r.author_type, signed, r.kind, bytes(r.schema), bytes(r.data), refs, r.evidence
-        )
+def _records(pdf: pd.DataFrame) -> list[Record]:
+    return [Record.from_row(r) for r in pdf.sort_values("pos").itertuples(index=False)]
+
+
+def judge_logs(records: DataFrame, rules: DataFrame, dialect: Dialect) -> DataFrame:
+    """Every record but verdicts, judged after those before it in its log, whatever its stored verdict.
+
+    ``rules`` has ``log_id`` and ``rules_json``.  Returns ``log_id``, ``pos``,
+    ``id``, ``kind``, ``result``, ``reason`` and the stored verdict's
+    ``stored_result`` and ``stored_reason`` (null without one).  A log is judged in
+    one task, many in parallel; a log without rules has no rows.
+    """
+    names = ["log_id", "pos", "id", "kind", "result", "reason", "stored_result", "stored_reason"]
+
+    def run(log: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if log.empty or own.empty:
+            return pd.DataFrame([], columns=names)
+        ledger, out, stored = Ledger(Rules.read(loads(own["rules_json"].iloc[0].encode())), dialect), [], {}
+        found = _records(log)
+        for r in found:
+            if r.kind == "Verdict" and r.refs:
+                told = payload(r, dialect) or {}
+                stored.setdefault(r.refs[0][1], (told.get("result"), told.get("reason")))
+        for pos, r in zip(sorted(log["pos"]), found):
+            if r.kind != "Verdict":
+                reason = ledger.judge(r)
+                ledger.admit(r)
+                if reason is None:
+                    ledger.fold(r)
+                out.append((log["log_id"].iloc[0], pos, r.id, r.kind, "Reject" if reason else "Accept", reason, *stored.get(r.id, (None, None))))
+            else:
+                ledger.admit(r)
+        return pd.DataFrame(out, columns=names)
+
+    schema = "log_id string, pos bigint, id binary, kind string, result string, reason string, stored_result string, stored_reason string"
+    return records.groupBy("log_id").cogroup(rules.groupBy("log_id")).applyInPandas(run, schema)

@@ -2,8 +2,9 @@
 
 Iterative plans cut their lineage here: a written table survives a lost
 executor, which a local checkpoint does not.  The folder is the one the cluster
-names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-folder under the system's temporary directory is used.
+names in ``spark.checkpoint.dir``; only where that is unset and driver and
+executors are one process (tests, a laptop) a folder under the system's
+temporary directory is used.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ _OPEN: dict[str, tuple[SparkSession, str]] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or f"file://{tempfile.gettempdir()}/ledgerloom-scratch").rstrip("/")
 
 

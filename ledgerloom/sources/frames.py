@@ -8,22 +8,19 @@ in parallel; the file's size is checked before it is read.
 
 from __future__ import annotations
 
-import decimal
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerloom.functions.canonical import CanonicalError, dumps, loads
-from ledgerloom.functions.records import Record
+from ledgerloom.functions.records import RECORD_COLUMNS, Record
 from ledgerloom.functions.schemas import PayloadError
 
 MAX_LOG_BYTES = 64 << 20
-SCHEMA = (
-    "log_id string, pos bigint, id binary, space binary, thread binary, time decimal(20,0), author string, author_type string, kind string, "
-    "schema binary, data binary, refs array<struct<type:string,target:binary>>, evidence string"
-)
-
 
 class FrameError(ValueError):
     """A file or record beyond the bounds, or a frame that holds no record."""
@@ -63,8 +60,8 @@ def read_log(data: bytes, most: int = MAX_LOG_BYTES) -> tuple[list[Record], int]
 class FrameLogSource(DataSource):
     """``spark.read.format("frame_log").option("paths", "a,b").load()``.
 
-    Paths are local to all executors (a shared mount); for other stores read
-    ``binaryFile`` and use :func:`read_log` in a map.  ``max_bytes`` bounds a file.
+    Paths are local to all executors (a shared mount); for other stores use
+    :func:`frame_records`.  ``max_bytes`` bounds a file.
     """
 
     @classmethod
@@ -72,7 +69,7 @@ class FrameLogSource(DataSource):
         return "frame_log"
 
     def schema(self) -> str:
-        return SCHEMA
+        return RECORD_COLUMNS
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(self.options)
@@ -90,7 +87,29 @@ class _Reader(DataSourceReader):
         with open(partition.value, "rb") as f:
             records, _ = read_log(f.read(self.most + 1), self.most)
         for pos, r in enumerate(records):
-            refs = [{"type": t, "target": x} for t, x in r.refs]
-            yield (
-                partition.value, pos, r.id, r.space, r.thread, decimal.Decimal(r.time), r.author, r.author_type, r.kind, r.schema, r.data, refs, r.evidence,
-            )
+            yield r.row(partition.value, pos)
+
+
+def frame_records(files: DataFrame, most: int = MAX_LOG_BYTES) -> DataFrame:
+    """Records of log files in any store that Spark reads.
+
+    ``files`` has ``path`` and ``content``, as ``spark.read.format("binaryFile")``
+    gives them, globs included.  A file that holds no log, or is larger than
+    ``most``, fails the query.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                records, _ = read_log(data or b"", most)
+                for low in range(0, len(records), 4096):
+                    rows = [r.row(path, low + i) for i, r in enumerate(records[low : low + 4096])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    names = [x.split()[0] for x in RECORD_COLUMNS.replace("struct<type:string,target:binary>", "s").replace("struct<key_id:string,sig:binary>", "s").split(", ")]
+    ref = pa.list_(pa.struct([("type", pa.string()), ("target", pa.binary())]))
+    kinds = [
+        pa.string(), pa.int64(), *[pa.binary()] * 3, pa.decimal128(20, 0), *[pa.string()] * 3, pa.binary(), pa.binary(), ref, pa.string(),
+        pa.struct([("key_id", pa.string()), ("sig", pa.binary())]),
+    ]
+    return files.select(F.col("path"), F.col("content")).mapInArrow(run, RECORD_COLUMNS)
