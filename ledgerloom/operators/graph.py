@@ -23,6 +23,7 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ``dst``.  Returns distinct ``log_id``, ``node`` and ``level`` (fewest steps).
     Cycles end, as a node is entered once.
     """
+    edges = materialize(edges.select("log_id", "src", "dst"), "edges")  # every round reads them
     fresh = materialize(seeds.select("log_id", "node").distinct().withColumn("level", F.lit(0)), "closure")
     rounds = [fresh]
     level = 0
@@ -30,13 +31,14 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
         seen = reduce(DataFrame.unionAll, rounds).select("log_id", "node")
         step = (
-            fresh.select("log_id", F.col("node").alias("src")).join(edges.select("log_id", "src", "dst"), ["log_id", "src"])
+            fresh.select("log_id", F.col("node").alias("src")).join(edges, ["log_id", "src"])
             .select("log_id", F.col("dst").alias("node")).distinct()
             .join(seen, ["log_id", "node"], "left_anti").withColumn("level", F.lit(level))
         )
         fresh = materialize(step, "closure")
         if fresh.isEmpty():
             release(fresh)
+            release(edges)
             return reduce(DataFrame.unionAll, rounds)
         rounds.append(fresh)
 
@@ -50,6 +52,7 @@ def descents(starts: DataFrame, back: DataFrame) -> DataFrame:
     once, reached over the edge that a queue would take first, and its place in
     that order within its level.
     """
+    back = materialize(back.select("log_id", "src", "dst", "via", "ordinal"), "edges")  # every round reads them
     fresh = materialize(
         starts.select("log_id", "start", F.col("start").alias("node"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("level"), F.lit("").alias("rank")),
         "descent",
@@ -60,7 +63,7 @@ def descents(starts: DataFrame, back: DataFrame) -> DataFrame:
         level += 1
         seen = reduce(DataFrame.unionAll, rounds).select("log_id", "start", "node")
         # A path's rank is the ranks of its edges one after the other, at fixed width.
-        rank = F.concat("rank", F.lpad(F.hex("ordinal"), 4, "0"))
+        rank = F.concat("rank", F.lpad(F.hex("ordinal"), 8, "0"))
         step = (
             fresh.alias("f").join(back.alias("b"), F.expr("f.log_id = b.log_id and f.node = b.src"))
             .select("f.log_id", "start", F.col("b.dst").alias("node"), F.struct(rank.alias("rank"), F.col("b.via").alias("via")).alias("p"))
@@ -71,6 +74,7 @@ def descents(starts: DataFrame, back: DataFrame) -> DataFrame:
         fresh = materialize(step, "descent")
         if fresh.isEmpty():
             release(fresh)
+            release(back)
             return reduce(DataFrame.unionAll, rounds).where("level > 0")
         rounds.append(fresh)
 

@@ -97,6 +97,16 @@ def q_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.descent(apart, none, _starts(candidates)).select("log_id", "start", "node", "via", "level")
 
 
+def q_descent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descent of every candidate, with each node's place in the queue's order."""
+    candidates, _ = lines(spark, sf_dir)
+    apart = candidates.withColumn("anchor", -1 - F.col("anchor"))
+    none = candidates.where(F.lit(False)).select("log_id", F.col("id").alias("src"), F.col("id").alias("dst"))
+    found = lineage.descent(apart, none, candidates.select("log_id", F.col("id").alias("start")))
+    place = F.row_number().over(Window.partitionBy("log_id", "start").orderBy("level", "rank"))
+    return found.select("log_id", "start", "node", "via", "level", place.cast("bigint").alias("place"))
+
+
 def q_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates, _ = lines(spark, sf_dir)
     apart = candidates.withColumn("anchor", -1 - F.col("anchor"))
@@ -186,7 +196,7 @@ def q_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frontier": q_frontier, "siblings": q_siblings, "selected": q_selected, "evidence_of_selection": q_evidence,
-    "standing": q_standing, "restored": q_restored, "descent": q_descent, "descendants": q_descendants,
+    "standing": q_standing, "restored": q_restored, "descent": q_descent, "descent_all": q_descent_all, "descendants": q_descendants,
     "taint_times": q_taint_times, "open_actions_asof": q_open_actions, "response_turns": q_response_turns,
     "usage_counts": q_usage_counts, "context_topk": q_context, "capability_asof": q_capability_asof, "gap_free": q_gap_free,
     "record_id_hash": q_record_ids, "head_hash": q_head_hash, "range_scan": q_scan, "weakest_evidence": q_weakest_evidence,
@@ -222,6 +232,12 @@ back as (select log_id, k src, -1 - parent dst, 'continuation-anchor' via from n
 walk as (select log_id, k as start, k as node, '' as via, 0 as level from node where n > 8
          union select w.log_id, w.start, b.dst, b.via, w.level + 1 from walk w join back b on w.log_id = b.log_id and w.node = b.src)
 select log_id, start, node, via, level from walk where level > 0""",
+    "descent_all": f"""with recursive {_LINES},
+back as (select log_id, k src, -1 - parent dst, 'continuation-anchor' via from node where parent is not null
+         union all select log_id, k, parent, 'parent' from node where parent is not null),
+walk as (select log_id, k as start, k as node, '' as via, 0 as level from node
+         union select w.log_id, w.start, b.dst, b.via, w.level + 1 from walk w join back b on w.log_id = b.log_id and w.node = b.src)
+select log_id, start, node, via, level, row_number() over (partition by log_id, start order by level, via) as place from walk where level > 0""",
     "descendants": f"""with recursive {_LINES},
 fwd as (select log_id, parent src, k dst from node where parent is not null),
 walk as (select log_id, k as id, 0 as level from node where n = 1
