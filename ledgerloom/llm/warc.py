@@ -31,7 +31,7 @@ FANOUT = 16
 #: Consecutive ids in an archive file.
 PER_FILE = 4096
 #: Files that share the records without an id.
-LOOSE = 1024
+LOOSE = 1 << 16
 
 
 def record_uuid(*parts: Column) -> Column:
@@ -160,7 +160,7 @@ def leaves(records: DataFrame, id_col: str, record_col: str, order_by: Column |
     """``file``, ``place``, ``id``, ``begin``, ``end``, ``hash`` and ``node`` of every record.
 
     A file takes 4,096 consecutive integer ids; records without an id go to one
-    of 1,024 further files by hash.  In a file records stand in order of id,
+    of 65,536 further files by hash, 4,096 identical ones at a time.  In a file records stand in order of id,
     then ``order_by`` (by default the hash), so identical rows may trade places
     without any effect.  Offsets are bytes within the file.  ``node`` hashes the
     record's hash, its length and the gap before it.
@@ -172,8 +172,15 @@ def leaves(records: DataFrame, id_col: str, record_col: str, order_by: Column |
         F.octet_length(record_col).cast("long").alias("size"),
         order.alias("by"),
     )
-    loose = F.lit(-1) - F.pmod(F.xxhash64("by"), F.lit(LOOSE))
-    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("id") / PER_FILE), loose).cast("long"))
+    # Identical records without an id are interchangeable: they are counted, and dealt in blocks.
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PER_FILE)))
+    held = F.least(F.lit(PER_FILE), F.col("n") - F.col("block") * PER_FILE).cast("int")
+    loose = (
+        rows.where("id is null").groupBy("id", "hash", "size", "by").agg(F.count("*").alias("n")).withColumn("block", block)
+        .select("id", "hash", "size", "by", (F.lit(-1) - F.pmod(F.xxhash64("by", "block"), F.lit(LOOSE))).cast("long").alias("file"),
+                F.explode(F.sequence(F.lit(1), held)).alias("copy")).drop("copy")
+    )
+    rows = rows.where("id is not null").withColumn("file", F.floor(F.col("id") / PER_FILE).cast("long")).unionAll(loose)
     within = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "by", "hash")
     end = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
     told = F.sha2(F.concat_ws(":", "hash", F.col("size").cast("string"), F.lit("0")), 256)  # such files have no gaps

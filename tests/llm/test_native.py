@@ -269,3 +269,11 @@ def test_long_urls_and_hosts(spark):
     assert got == {0: ("a.b/x", "block"), 1: (None, "allow"), **dict.fromkeys(range(2, 8), (None, "allow"))}
     plan = filter_urls(df, rules)._jdf.queryExecution().toString()
     assert "Python" not in plan.split("== Physical Plan ==")[1].split("LocalTableScan")[0]
+
+
+def test_identical_records_without_an_id_are_dealt_out(spark):
+    same = spark.range(9000).select(F.lit(None).cast("bigint").alias("page_id"), F.lit("r").alias("record"), F.lit("x").alias("hash"), F.lit(1).alias("file"))
+    found = leaves(same, "page_id", "record")
+    sizes = sorted(r["count"] for r in found.groupBy("file").count().collect())
+    assert sum(sizes) == 9000 and max(sizes) <= 4096
+    assert found.groupBy("file").agg(F.max("end").alias("e"), F.count("*").alias("n")).where("e <> n").count() == 0
