@@ -23,15 +23,17 @@ QUERIES = ("descent", "descendants", "siblings", "frontier", "standing", "eviden
 
 
 def _text(r: Report) -> str:
-    lines = [("status", r.status.upper()), ("problem", r.problem), ("reject reason", r.reason), ("spec version", r.spec_version)]
-    lines += [("records", r.record_count), ("checked", r.checked_records), ("last time", r.last_time), ("head hash", r.head_hash.hex()), ("rules hash", r.rules_hash.hex())]
-    out = [f"{k + ':':<17}{v}" for k, v in lines if v is not None]
-    for name, ids in (("retracted", r.retracted), ("tainted", r.tainted), ("standing-compromised", r.standing.compromised), ("unsound", r.standing.unsound)):
-        if ids:
-            out += [f"{name} ({len(ids)}):", *(f"  {x.hex()}" for x in sorted(ids))]
+    """A report to read: the outcome first, then the log, then what is marked and the clauses by profile."""
+    out = [f"{'status:':<17}{r.status.upper()}"]
+    out += [f"because {why}" for why in (r.problem, r.reason) if why]
+    if r.problem is None:
+        out.append(f"epoch {r.spec_version}, {r.checked_records} of {r.record_count} records hold, the last at {r.last_time}")
+        out.append(f"head {r.head_hash.hex()} under rules {r.rules_hash.hex()}")
+    marks = {"retracted": r.retracted, "tainted": r.tainted, "standing-compromised": r.standing.compromised, "standing-unsound": r.standing.unsound}
+    out += [f"{name} {x.hex()}" for name, ids in marks.items() for x in sorted(ids)]
     for p in r.profiles:
-        out.append(f"profile {p['id']}: {p['status']}")
-        out += [f"  {c} {'pass' if ok else 'FAIL'}" for c, ok in p["clauses"].items()]
+        failed = [c for c, ok in p["clauses"].items() if not ok]
+        out.append(f"profile {p['id']} {p['status']}" + (f", fails {' '.join(failed)}" if failed else ""))
     return "\n".join(out)
 
 

@@ -20,9 +20,11 @@ class CanonicalError(ValueError):
 
 
 def _pairs(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
-    out = dict(pairs)
-    if len(out) != len(pairs):
-        raise CanonicalError("repeated key")
+    out: dict[str, Any] = {}
+    for name, value in pairs:
+        if name in out:
+            raise CanonicalError(f"duplicate field `{name}`")
+        out[name] = value
     return out
 
 

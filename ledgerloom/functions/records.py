@@ -140,7 +140,8 @@ class Rules:
         need = {"space", "kind_schema_map", "signature_required_kinds", "author_keys", "author_roles", "admin_retraction_actors", "allowed_summary_types", "evidence_thresholds", "max_context_records"}
         extra = set(_RULES)
         if not need <= value.keys() or not value.keys() <= extra:
-            raise PayloadError("missing or unknown fields of rules")
+            odd = value.keys() - extra
+            raise PayloadError(f"unknown field `{min(odd)}`" if odd else f"rules lack {min(need - value.keys())}")
         return cls(**{k: _RULES[k](v) for k, v in value.items()})
 
     def written(self) -> dict[str, Any]:
@@ -230,11 +231,11 @@ class Receipt:
     @classmethod
     def from_bytes(cls, data: bytes) -> Receipt:
         value = loads(data)
-        if not isinstance(value, dict) or not value.keys() <= {"spec_version", "profiles", "rules", "records"}:
-            raise PayloadError("not a receipt")
-        missing = {"spec_version", "rules", "records"} - value.keys()
-        if missing:
-            raise PayloadError(f"missing {sorted(missing)}")
+        if not isinstance(value, dict):
+            raise PayloadError("invalid type: a receipt is an object")
+        odd, missing = value.keys() - {"spec_version", "profiles", "rules", "records"}, {"spec_version", "rules", "records"} - value.keys()
+        if odd or missing:
+            raise PayloadError(f"unknown field `{min(odd)}`" if odd else f"the receipt lacks {min(missing)}")
         return cls(
             read("str", value["spec_version"]), Rules.read(value["rules"]), [Record.read(r) for r in read(Many("json"), value["records"])],
             read(Many(_DECLARATION), value.get("profiles", [])),

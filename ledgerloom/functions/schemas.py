@@ -25,7 +25,7 @@ REASONS = (
     "LineageInvalid PayloadRefUnresolved EvaluationInvalid SelectionInvalid ReaffirmationInvalid ArtifactRefInvalid RequirementInvalid"
 ).split()
 SUMMARY_TYPES = ("Procedure", "Pattern", "Lesson", "StateSnapshot")
-#: Author types that may write each kind.
+# The author types that may write each kind.
 AUTHORS: dict[str, tuple[str, ...]] = {
     "Request": ("User",),
     "Action": ("Provider",),
@@ -46,7 +46,7 @@ AUTHORS: dict[str, tuple[str, ...]] = {
 }
 KINDS = tuple(AUTHORS)
 REPLACEABLE = ("Summary", "Capability", "Approval", "Plan", "Selection")
-#: Digest lengths in bytes of registered artifact schemes.
+# Digest lengths in bytes of the registered artifact schemes.
 DIGESTS = {
     "git-tree-sha1": 20,
     "git-tree-sha256": 32,
@@ -120,7 +120,7 @@ _TASK = _struct(
     on_failure=One(("continue", "ask_user", "abort")),
 )
 
-#: name -> (kind, base evidence, payload)
+# Fixed values of the wire format: name -> (kind, base evidence, payload).
 SCHEMAS: dict[str, tuple[str, str, Struct]] = {
     "request.v1": ("Request", "Reported", _struct({"attachments": []}, objective="str", scope="hash", attachments=Many(_struct(path="str", content="str")), parent_request_id=Opt("hash"))),
     "action.v1": ("Action", "Reported", _struct(request_id="hash", action_class="str", scope="hash", exec_mode=One(("Internal", "External")), params="json")),
@@ -156,7 +156,7 @@ def read(kind: Any, value: Any) -> Any:
         return None if value is None else read(kind.of, value)
     if isinstance(kind, Many):
         if not isinstance(value, list):
-            raise PayloadError("not a list")
+            raise PayloadError("invalid type: not a list")
         return [read(kind.of, x) for x in value]
     if isinstance(kind, One):
         if not isinstance(value, str) or value not in kind.names:
@@ -177,10 +177,10 @@ def read(kind: Any, value: Any) -> Any:
 
 def _read_struct(kind: Struct, value: Any) -> dict[str, Any]:
     if not isinstance(value, dict):
-        raise PayloadError("not an object")
+        raise PayloadError("invalid type: not an object")
     known = dict(kind.fields)
     if not value.keys() <= known.keys():
-        raise PayloadError(f"unknown fields {sorted(value.keys() - known.keys())}")
+        raise PayloadError(f"unknown field `{min(value.keys() - known.keys())}`")
     lenient, out = dict(kind.lenient), {}
     for name, of in kind.fields:
         if name in value:
@@ -210,7 +210,7 @@ def _read_plain(kind: str, value: Any) -> Any:
     if kind in ("hash", "bytes") and isinstance(value, list) and all(isinstance(b, int) and not isinstance(b, bool) and 0 <= b <= 255 for b in value):
         if kind == "bytes" or len(value) == 32:
             return bytes(value)
-    raise PayloadError(f"not a {kind}")
+    raise PayloadError(f"invalid type: not a {kind}")
 
 
 def written(kind: Any, value: Any) -> Any:

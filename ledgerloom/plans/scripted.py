@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import json
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from ledgerloom.functions.canonical import canonical_hash, dumps
 from ledgerloom.functions.records import RECORD_COLUMNS, Record, Rules
 from ledgerloom.functions.schemas import SCHEMAS, Dialect
 from ledgerloom.operators.judge import Ledger
-from ledgerloom.operators.receipts import Queries, validate_receipts
+from ledgerloom.operators.receipts import Limits, Queries, validate_receipts
 from ledgerloom.operators.relational import judge_logs, verify_logs
 from ledgerloom.sources.writer import Commit, LogWriter, Proposal, export
 
@@ -1273,6 +1274,35 @@ def q_receipts_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _receipts(spark, _malformed()).select("name", "status", F.col("problem").isNotNull().alias("structural"))
 
 
+#: receipt -> what its problem says; limits of a few bytes, records or references where named
+PROBLEMS = {
+    "one_field_more": "unparseable receipt: unknown field `more`", "declared_with_more": "unparseable receipt: unknown field `more`",
+    "key_twice": "duplicate field", "signature_of_numbers": "invalid type", "another_epoch": "unsupported spec version", "no_json": "unparseable receipt",
+    "cut_off": "unparseable receipt", "short_hash": "unparseable receipt", "declared_too_early": "profile declarations require spec 0.4",
+    "declared_twice": "declared more than once", "declared_without_id": "has an empty id", "many_bytes": "receipt exceeds size limit",
+    "many_records": "receipt exceeds record limit", "many_references": "exceeds ref-count limit",
+}
+LIMITS = {"many_bytes": Limits(max_bytes=9), "many_records": Limits(max_records=1), "many_references": Limits(max_refs_per_record=1)}
+
+
+def q_receipt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the problem of a receipt says what readers look for."""
+    made, chosen = _malformed(), export(_line(Script()))
+    good = json.loads(made["good"])
+    entry = {"id": "core", "version": 1, "hash": [0] * 32, "more": 1}
+    first = good["records"][0]
+    signed = first | {"author": first["author"] | {"signature": {"key_id": 123, "sig": "x"}}}
+    made |= {"declared_with_more": json.dumps(good | {"profiles": [entry]}).encode(), "signature_of_numbers": json.dumps(good | {"records": [signed]}).encode()}
+    plain = [(n, made[n], says) for n, says in PROBLEMS.items() if n not in LIMITS]
+    parts = [(plain, None)] + [([(n, chosen, PROBLEMS[n])], limits) for n, limits in LIMITS.items()]
+    told = [
+        validate_receipts(spark.createDataFrame(rows, "name string, content binary, says string"), DIALECT, limits=limits)
+        .select("name", "status", "says", F.contains("problem", "says").alias("said"))
+        for rows, limits in parts
+    ]
+    return reduce(DataFrame.unionAll, told)
+
+
 def _broken_benchmark() -> tuple[Script, dict[str, bytes]]:
     """A line of development whose first selection rests on an evaluation that is retracted later."""
     s, n = Script(), {}
@@ -1356,6 +1386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"verdicts_{f}":
     "verify_logs": q_verify_logs,
     "profiles": q_profiles,
     "receipts_malformed": q_receipts_malformed,
+    "receipt_problems": q_receipt_problems,
     "named_queries": q_named_queries,
 }
 
@@ -1365,5 +1396,6 @@ ORACLE_SQL: dict[str, str] = {f"verdicts_{f}": verdicts_sql(f) for f in CASES} |
     ),
     "profiles": _values([(n, status, p, failed, not failed) for n, (_, status, by) in RECEIPTS.items() for p, failed in by.items()], "name", "status", "profile", "failed", "met"),
     "receipts_malformed": _values([(n, status, early) for n, (status, early) in MALFORMED.items()], "name", "status", "structural"),
+    "receipt_problems": _values([(n, "Invalid", says, True) for n, says in PROBLEMS.items()], "name", "status", "says", "said"),
     "named_queries": _values(ANSWERS, "question", "answer"),
 }
