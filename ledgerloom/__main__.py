@@ -8,6 +8,7 @@ before tainted.
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import sys
 from typing import Any
@@ -15,8 +16,10 @@ from typing import Any
 from ledgerloom.functions import ed25519
 from ledgerloom.functions.canonical import dumps, loads, unhex
 from ledgerloom.functions.records import Rules
-from ledgerloom.functions.schemas import AUTHOR_TYPES, Dialect
+from ledgerloom.functions.schemas import AUTHOR_TYPES, EVIDENCE, KINDS, Dialect
+from ledgerloom.operators.judge import replay
 from ledgerloom.operators.receipts import Limits, Profiles, Queries, QueryError, Report, _report_row, open_receipt, validate
+from ledgerloom.sources.frames import read_log
 
 ADD = ("request", "requirement", "candidate", "evaluate", "select", "retract")
 QUERIES = ("descent", "descendants", "siblings", "frontier", "standing", "evidence", "selected", "lineage")
@@ -81,7 +84,9 @@ def _write(args: argparse.Namespace, dialect: Dialect) -> int:
         seed = unhex(getattr(args, "seed", None))
         with LogWriter(args.log, rules, dialect, seeds={args.actor: seed} if seed else None) as writer:
             if args.verb == "export":
-                sys.stdout.write(export(writer).decode())
+                with contextlib.ExitStack() as files:
+                    tables = [json.load(files.enter_context(open(t))) for t in args.profile]
+                sys.stdout.write(export(writer, tables).decode())
                 return 0
             thread, given = unhex(args.thread), json.loads(args.args)
             if thread is None or not isinstance(given, dict):
@@ -97,6 +102,26 @@ def _write(args: argparse.Namespace, dialect: Dialect) -> int:
     return 0 if done.reason is None else 1
 
 
+def _rules(args: argparse.Namespace, dialect: Dialect) -> int:
+    """Print a rules document made from flags."""
+    roles, floors = (dict(x.partition("=")[::2] for x in given) for given in (args.role, args.threshold))
+    keys: dict[str, set] = {}
+    for actor, _, key in (x.partition("=") for x in args.key):
+        keys.setdefault(actor, set()).add(unhex(key))
+    known = set(roles.values()) <= set(AUTHOR_TYPES) and set(floors) <= set(KINDS) and set(floors.values()) <= set(EVIDENCE)
+    if not known or any(None in found for found in keys.values()):
+        return 64
+    made = Rules.default(
+        dialect, max_context_records=args.max_context, baseline=not args.no_baseline, author_roles=roles, admin_retraction_actors=set(args.admin),
+        author_keys=keys, signature_required_kinds=set(args.sign), reaffirmation_actors=set(args.reaffirmer), min_binding=args.min_binding,
+        max_considered=args.max_considered, selection_requires_approval=args.selection_approval,
+        reject_compromised_continuation=args.reject_compromised, selection_requires_evaluation=not args.no_evaluation,
+    )
+    made.evidence_thresholds |= floors
+    print(dumps(made.written()).decode())
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="ledgerloom", exit_on_error=False)
     parser.add_argument("--namespace", default="ledgerloom", help="prefix of the schema names that the ledger hashes")
@@ -109,12 +134,22 @@ def main(argv: list[str] | None = None) -> int:
     v.add_argument("--require-profile", action="append", default=[])
     q = verbs.add_parser("query")
     q.add_argument("name", choices=QUERIES)
-    q.add_argument("receipt")
+    q.add_argument("receipt", help="a receipt, or a log file with --rules")
+    q.add_argument("--rules", help="file of the rules that a log file was kept under")
     q.add_argument("argument", nargs="?", help="id in hex, or the objective for selected")
     r = verbs.add_parser("rules")
     r.add_argument("--role", action="append", default=[], metavar="ACTOR=TYPE")
     r.add_argument("--admin", action="append", default=[])
     r.add_argument("--max-context", type=int, default=100)
+    r.add_argument("--key", action="append", default=[], metavar="ACTOR=HEX", help="a key that an actor signs with")
+    r.add_argument("--sign", action="append", default=[], choices=KINDS, help="a kind that must be signed")
+    r.add_argument("--threshold", action="append", default=[], metavar="KIND=EVIDENCE")
+    r.add_argument("--no-baseline", action="store_true", help="leave out the baseline thresholds")
+    r.add_argument("--reaffirmer", action="append", default=[])
+    r.add_argument("--min-binding", choices=("reported", "manifest"), default="reported")
+    r.add_argument("--max-considered", type=int, default=4096)
+    for flag in ("--selection-approval", "--reject-compromised", "--no-evaluation"):
+        r.add_argument(flag, action="store_true")
     for verb in ("add", "export"):
         w = verbs.add_parser(verb)
         w.add_argument("--log", required=True, help="folder of the log")
@@ -126,6 +161,8 @@ def main(argv: list[str] | None = None) -> int:
             w.add_argument("--thread", required=True, help="64 hex digits")
             w.add_argument("--seed", help="signing seed, 64 hex digits")
             w.add_argument("--args", default="{}", help="the method's arguments as JSON; ids and hashes in hex")
+        else:
+            w.add_argument("--profile", action="append", default=[], help="file of the clause table of a profile to declare")
     k = verbs.add_parser("key")
     k.add_argument("seed", help="64 hex digits")
     try:
@@ -134,12 +171,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if isinstance(e, SystemExit) and e.code == 0 else 64
     dialect = Dialect(args.namespace)
     if args.verb == "rules":
-        roles = dict(x.partition("=")[::2] for x in args.role)
-        if not set(roles.values()) <= set(AUTHOR_TYPES):
-            return 64
-        made = Rules.default(dialect, max_context_records=args.max_context, author_roles=roles, admin_retraction_actors=set(args.admin))
-        print(dumps(made.written()).decode())
-        return 0
+        return _rules(args, dialect)
     if args.verb == "key":
         seed = unhex(args.seed)
         if seed is None:
@@ -165,7 +197,16 @@ def main(argv: list[str] | None = None) -> int:
         met = {p["id"]: Profiles.met(p) for p in report.profiles}
         unmet = not all(met.get(p, False) for p in args.require_profile)
         return 1 if report.status == "Invalid" else 3 if unmet else 2 if report.status == "Tainted" else 0
-    _, _, verdict = open_receipt(data, dialect)
+    try:
+        if args.rules:
+            with open(args.rules, "rb") as f:
+                verdict = replay(read_log(data)[0], Rules.read(loads(f.read())), dialect)
+        else:
+            _, _, verdict = open_receipt(data, dialect)
+    except OSError:
+        return 66
+    except ValueError:
+        return 65
     try:
         if verdict is None:
             raise QueryError("LogInvalid")

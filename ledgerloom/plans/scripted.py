@@ -43,7 +43,7 @@ class Script(LogWriter):
     def __init__(self, **rules: Any):
         self.rules = Rules.default(DIALECT, **({"author_roles": dict(ROLES), "admin_retraction_actors": {"ann"}} | rules))
         self.dialect, self.seeds, self.rules_hash = DIALECT, {}, self.rules.hash()
-        self.records, self.size, self.most, self.path = [], 0, 1 << 40, ""
+        self.records, self.size, self.most, self.path, self.broken = [], 0, 1 << 40, "", False
         self.ledger = Ledger(self.rules, DIALECT)
 
     def _append(self, records: list[Record]) -> None:

@@ -43,10 +43,14 @@ def manifest_hash(entries: list[Entry]) -> bytes | None:
 def scan(root: str, gitlinks: dict[str, str] | None = None) -> list[Entry]:
     """Entries of a tree, without ``.git``; links are not followed.
 
-    ``gitlinks`` maps folders of other repositories to their commits; they are
-    entries of their own and not walked.  A name that is not UTF-8 is an error.  Files are read a mebibyte at a time.
+    ``gitlinks`` maps paths of other repositories to their commits; each is an
+    entry whether or not its folder is there, and the folder is not walked.  A
+    path that is a file or a link as well is an error, and so is a name that is
+    not UTF-8.  Only files, links and folders count (no pipes or devices).
+    Files are read a mebibyte at a time.
     """
-    found: list[Entry] = []
+    gitlinks = gitlinks or {}
+    found: dict[str, Entry] = {}
     todo = [""]
     while todo:
         at = todo.pop()
@@ -54,17 +58,19 @@ def scan(root: str, gitlinks: dict[str, str] | None = None) -> list[Entry]:
             name = os.fsencode(item.name).decode("utf-8")
             path = f"{at}/{name}" if at else name
             if item.is_symlink():
-                found.append(Entry.symlink(path, os.fsencode(os.readlink(item.path))))
+                found[path] = Entry.symlink(path, os.fsencode(os.readlink(item.path)))
             elif item.is_dir():
-                if path in (gitlinks or {}):
-                    found.append(Entry.gitlink(path, gitlinks[path]))
-                elif name != ".git":
+                if name != ".git" and path not in gitlinks:
                     todo.append(path)
-            else:
+            elif item.is_file():
                 digest = hashlib.sha256()
                 with open(item.path, "rb") as f:
                     while block := f.read(1 << 20):
                         digest.update(block)
                 mode = "100755" if item.stat().st_mode & stat.S_IXUSR else "100644"
-                found.append(Entry(path, mode, digest.hexdigest()))
-    return sorted(found, key=lambda e: e.path)
+                found[path] = Entry(path, mode, digest.hexdigest())
+    both = gitlinks.keys() & found.keys()
+    if both:
+        raise ValueError(f"{min(both)} is a commit's path and a file's")
+    found |= {path: Entry.gitlink(path, oid) for path, oid in gitlinks.items()}
+    return sorted(found.values(), key=lambda e: e.path)
