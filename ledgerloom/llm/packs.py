@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes of input that a shuffle partition takes, about, and buckets in a partition.
-PART_BYTES, PER_PART = 512 << 20, 4
+#: Bytes of input that a bucket takes, about.  Every bucket is a partition of its own.
+PART_BYTES = 256 << 20
 PACKED = "bucket int, payload binary"
 
 
@@ -73,7 +73,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.
 
 def exchanged(packed: DataFrame, parts: int) -> DataFrame:
     """Packed rows by bucket, in order of it within a partition."""
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return packed.repartitionById(parts, "bucket").sortWithinPartitions("bucket")
 
 
 def groups(*keys: np.ndarray) -> np.ndarray:

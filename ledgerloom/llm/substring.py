@@ -204,8 +204,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         F.col("source.doc_id").alias("source_id"), F.col("source.sum").alias("source_sum"), F.col("source.start").cast("bigint").alias("source_start"),
     )
     asked = walks.where("doc_id = first and branching").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    parts = packs.parts_for(docs)
-    buckets = packs.PER_PART * parts
+    parts = buckets = packs.parts_for(docs)
     texts = docs.join(asked, ["doc_id", "sum"]).select("doc_id", "sum", "text", "runs")
     single = packs.exchanged(texts.mapInArrow(_windows(length, buckets), packs.PACKED), parts).mapInArrow(_settle(buckets), _SPAN)
     return _in_step(pieces, "path").unionAll(_in_step(single))

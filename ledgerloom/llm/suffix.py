@@ -365,8 +365,7 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     if not GRAM < length < GRAM + 64:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 63}")
-    parts = packs.parts_for(docs)
-    buckets = packs.PER_PART * parts
+    parts = buckets = packs.parts_for(docs)
     known = docs.where((F.col("doc_id") != NO_ID) & F.col("text").isNotNull())
     entries = packs.exchanged(known.mapInArrow(_entries(length, buckets, CROWD), packs.PACKED), parts)
     first = materialize(entries.mapInArrow(_refine(length, buckets), _RUN), "runs")
@@ -380,16 +379,15 @@ def refined(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     Rounds of pointer refinement: a shard's suffixes go to buckets, pointers
     come back, and the next depth's keys are pairs of them.
     """
-    parts = packs.parts_for(docs)
-    buckets = packs.PER_PART * parts
+    parts = buckets = packs.parts_for(docs)
     asked = runs.groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
     texts = docs.join(asked, ["doc_id", "sum"]).select("doc_id", "sum", "text", "runs")
     mail = texts.mapInArrow(_shards(length, buckets), _MAIL)
     rounds = depths(length)
     for i, depth in enumerate(rounds):
         last = depth == length
-        told = mail.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolved(1 if i == 0 else 2, last), _MAIL)
-        back = told.repartition(parts, "shard").sortWithinPartitions("shard")
+        told = packs.exchanged(mail, parts).mapInArrow(_resolved(1 if i == 0 else 2, last), _MAIL)
+        back = told.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard")
         mail = back.mapInArrow(_owned, _RUN) if last else back.mapInArrow(_doubled(rounds[i + 1] - depth, buckets), _MAIL)
     return mail
 
