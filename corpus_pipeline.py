@@ -21,14 +21,29 @@ from ledgerloom.plans import materialize
 LEAST_SHARE = 0.4
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names that no operator uses, and the names of the given columns.
+
+    Whatever else the table holds, nothing of it clashes with what stages add.
+    """
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def given(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The given columns under their own names."""
+    return rows.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language.
 
     A document goes only if its text is null or has no letter, or if no learned
     language has 40 % of its words; mixed texts with a main language stay.
     """
-    kept = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(docs.columns)
+    rows, names = plain(docs)
+    found = identify(rows, names["doc_id"], names["text"], names["lang"])
+    return given(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,42 +53,51 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts, the id stays once for each of their groups.  Rows without an id all
     stay.
     """
-    named = similar_texts(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "sum")).alias("one"))
-    classes = named.select(F.col("one.doc_id").alias("doc_id"), F.col("one.sum").alias("_sum"))
-    keyed = docs.where("doc_id is not null").withColumn("_sum", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(classes, ["doc_id", "_sum"], "left_semi").dropDuplicates(["doc_id", "_sum"]).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows, names = plain(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    linked = similar_texts(rows, doc_id, text)
+    one = linked.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "sum")).alias("one"))
+    classes = one.select(F.col("one.doc_id").alias(doc_id), F.col("one.sum").alias("sum"))
+    keyed = rows.where(F.col(doc_id).isNotNull()).withColumn("sum", F.xxhash64(F.col(text).cast("string")))
+    kept = keyed.join(classes, [doc_id, "sum"], "left_semi").dropDuplicates([doc_id, "sum"]).drop("sum")
+    return given(kept.unionByName(rows.where(F.col(doc_id).isNull())), names)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings that repeat an earlier document's out of the texts.
 
-    A character that a cut splits goes as a whole, as does any U+FFFD of a text
-    that is cut.  Documents that lose all of their text go; those that had none
-    stay.
+    A character that a cut splits goes as a whole.  Documents that lose all of
+    their text go; those that had none stay.  ``n_chars`` counts what is left.
     """
-    new = F.make_valid_utf8(F.col("kept").cast("string"))
-    cut = remove_repeats(docs).select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"), "n_removed", new.alias("new"))
-    cut = cut.where("n_removed > 0").dropDuplicates(["_id", "_sum"])
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_sum": text_sum(F.col("text"))})
-    joined = keyed.join(cut, ["_id", "_sum"], "left")
-    # Halves of characters come back as U+FFFD.
-    text = F.when(F.col("n_removed") > 0, F.replace("new", F.lit("�"), F.lit(""))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text).where("n_removed is null or text <> ''")
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    rows, names = plain(docs)
+    doc_id, text = names["doc_id"], names["text"]
+    cut = remove_repeats(rows, doc_id, text, as_text=True).where("n_removed > 0")
+    cut = cut.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "sum", F.col("kept").alias("new")).dropDuplicates(["id", "sum"])
+    keyed = rows.withColumns({"id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), "sum": text_sum(F.col(text))})
+    out = keyed.join(cut, ["id", "sum"], "left").where("new is null or new <> ''").withColumn(text, F.coalesce("new", text))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return given(out, names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that leak no benchmark item."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    rows, names = plain(docs)
+    return given(decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names["doc_id"], names["text"]), names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of every document for the mix; documents with none are left out."""
+    """Copies of every document for the mix; documents with none are left out.
+
+    Columns of the names of the results are replaced by those.
+    """
+    added = ("size", "source_size", "target", "copies")
+    rows, names = plain(docs)
     # A row's number reaches it whatever its id, null or repeated.
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    mixed = mix_sources(rows, keep=("_row",)).where("copies > 0").select("_row", "size", "source_size", "target", "copies")
-    return rows.join(mixed, "_row").select(*docs.columns, "size", "source_size", "target", "copies")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    mixed = mix_sources(rows, names["doc_id"], names["text"], names["source"], keep=("row",)).where("copies > 0").select("row", *added)
+    kept = {old: new for old, new in names.items() if old not in added}
+    return rows.join(mixed, "row").select(*(F.col(new).alias(old) for old, new in kept.items()), *added)
 
 
 STAGES = [

@@ -400,7 +400,7 @@ def keep_mask(size: int, starts: np.ndarray, counts: np.ndarray, length: int) ->
     return np.cumsum(edge[:size]) == 0
 
 
-def _cut(length: int):
+def _cut(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
@@ -420,14 +420,18 @@ def _cut(length: int):
                 out["n_bytes"].append(len(text))
                 out["n_removed"].append(int(len(text) - keep.sum()))
                 out["n_spans"].append(len(begin))
-                out["kept"].append(text[keep].tobytes())
+                if as_text:  # every part by itself, or halves of two characters might make a third
+                    edges = np.concatenate([[0], np.stack([begin, end], axis=1).ravel(), [len(text)]]).reshape(-1, 2)
+                    out["kept"].append("".join(text[a:b].tobytes().decode("utf-8", "ignore") for a, b in edges.tolist()))
+                else:
+                    out["kept"].append(text[keep].tobytes())
                 spans_out.append([{"start": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1),
                     *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")),
                     pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(out["kept"], pa.binary()),
+                    pa.array(out["kept"], pa.string() if as_text else pa.binary()),
                 ],
                 ["doc_id", "sum", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
             )
@@ -435,14 +439,15 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, as_text: bool = False) -> DataFrame:
     """Each document without the bytes of strings that start in an earlier one.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a
     document with a smaller id; strings are judged on the input and never cross
     documents.  Returns a row for every row: ``doc_id``, ``sum``, ``n_bytes``,
     ``n_removed``, ``n_spans``, ``spans`` (removed runs, byte offsets) and
-    ``kept`` (bytes; a cut may split a character).  Null and empty texts have no
+    ``kept`` (bytes; a cut may split a character, and ``as_text`` leaves the halves
+    out and gives a string).  Null and empty texts have no
     bytes.  Rows of one id don't remove each other's bytes, and rows alike in
     id and text get the same result.  A row with a null id is kept whole and
     removes nothing.  Ids are integers.  An empty table gives an empty table.
@@ -455,7 +460,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = repeated_runs(base, length).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
     joined = base.join(runs, ["doc_id", "sum"], "left").select("doc_id", "sum", "text", "runs")
     cut = joined.mapInArrow(
-        _cut(length),
-        "doc_id bigint, sum bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary",
+        _cut(length, as_text),
+        "doc_id bigint, sum bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, "
+        f"kept {'string' if as_text else 'binary'}",
     )
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

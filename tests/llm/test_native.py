@@ -277,3 +277,25 @@ def test_identical_records_without_an_id_are_dealt_out(spark):
     sizes = sorted(r["count"] for r in found.groupBy("file").count().collect())
     assert sum(sizes) == 9000 and max(sizes) <= 4096
     assert found.groupBy("file").agg(F.max("end").alias("e"), F.count("*").alias("n")).where("e <> n").count() == 0
+
+
+def test_mixing_rates_are_the_tilted_ones(spark):
+    """Rates against the dual solved by bisection, document by document."""
+    import math
+
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([1, 2, 5, 30, 200, 900]), rng.choice("abcc")) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = mix_sources(df).collect()
+    want = targets(Counter({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}))
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        low, high = -50.0, 50.0  # of the multiplier a word
+        for _ in range(200):
+            lam = (low + high) / 2
+            total = sum(r["size"] * min(2.0, math.exp(min(lam * r["size"], 700))) for r in mine)
+            low, high = (lam, high) if total < want[s] else (low, lam)
+        if want[s] >= 2 * sum(r["size"] for r in mine) - 1e-6:
+            assert {r["rate"] for r in mine} == {2.0}
+        else:
+            assert all(abs(r["rate"] - min(2.0, math.exp(lam * r["size"]))) < 1e-6 for r in mine)

@@ -1,6 +1,7 @@
 """Language identification, extraction and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -245,3 +246,32 @@ def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
     taken = lambda s: sum(r["copies"] * r["size"] for r in mixed if r["source"] == s)
     assert all(abs(taken(r["source"]) - r["target"]) <= 40 for r in mixed) and len(mixed) <= len(rows)
     assert None in {r["doc_id"] for r in mixed}
+
+
+def test_pipeline_with_clashing_columns_and_none_at_all(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = ("score", "held_out", "lang_pred", "_id", "_sum", "id", "sum", "new", "size", "target", "copies", "n_removed", "row", "root", "component_id", "_leaks", "item_id", "grams")
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in extra})
+    none, now, plain = wide.limit(0), wide, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, plain, none = (corpus_pipeline.materialize(stage(spark, x, DATA), name) for x in (now, plain, none))
+        assert now.columns == wide.columns and none.count() == 0 and none.dtypes == wide.dtypes
+    rows = now.collect()
+    assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in extra)
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect())
+    mixed = corpus_pipeline.mixing(spark, now, DATA)
+    assert corpus_pipeline.mixing(spark, none, DATA).count() == 0 and len(mixed.columns) == len(set(mixed.columns))
+    took = mixed.collect()
+    assert all(r["copies"] in (1, 2) and r["size"] == len(re.findall(r"[^\x20\x09-\x0d]+", r["text"])) and r["score"] == f"score:{r['doc_id']}" for r in took)
+
+
+def test_cut_texts_keep_their_characters(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    shared = "".join(chr(0x4E00 + i * 7 % 900) for i in range(40))  # three bytes each
+    rows = [(1, "\ufffd one " + shared, "en", "s", 1), (2, shared[3:30] + " two \ufffd\ufffd and é", "en", "s", 1), (3, shared, "en", "s", 1), (4, None, "en", "s", None)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.span_dedup(spark, spark.createDataFrame(rows, docs.schema), DATA).collect()}
+    assert got == {1: (rows[0][1], 46), 2: (" two \ufffd\ufffd and é", 13), 4: (None, None)}
