@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,8 +45,9 @@ BOILER_PARTS = frozenset(
 )
 #: Those of reader comments, which may be articles by themselves.
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
-#: Words that, as a whole class, id or role, mark the article.
+#: Words that, as a whole class, id or role, mark the article, and what they may be joined with.
 ARTICLE_WORDS = frozenset("article content entry main post story".split())
+ARTICLE_PARTS = frozenset("area blog body center column container inner news page primary section single text wrap wrapper".split())
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     # English
@@ -80,10 +82,20 @@ class _Block:
         self.good: bool | None = None
 
 
-def _boiler_name(name: str) -> bool:
-    """Whether a class, id or role marks boilerplate: a word, or one with parts that only place it."""
+@lru_cache(maxsize=1 << 16)
+def _name_marks(name: str) -> tuple[bool, bool]:
+    """Whether a class, id or role marks boilerplate, and whether the article.
+
+    A name of several parts does if one of them does and the others only place
+    it: ``comment-list`` and ``post-comments``, but not ``no-sidebar``.  What
+    heads an article (``entry-header``) is no page header.
+    """
     parts = re.split("[-_]+", name)
-    return any(x in BOILER_WORDS for x in parts) and all(x in BOILER_WORDS or x in BOILER_PARTS or x.isdigit() for x in parts)
+    words = {x for x in parts if x in BOILER_WORDS}
+    known = all(x in BOILER_WORDS or x in BOILER_PARTS or x in ARTICLE_WORDS or x.isdigit() for x in parts)
+    of_article = not ARTICLE_WORDS.isdisjoint(parts)
+    boiler = known and bool(words) and not (of_article and words == {"header"})
+    return boiler, of_article and all(x in ARTICLE_WORDS or x in ARTICLE_PARTS for x in parts)
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -101,9 +113,10 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
             elif name == "style":
                 boiler |= "display:none" in re.sub(r"\s", "", value)
             elif name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-                names = value.split()
-                boiler |= any(x in COMMENT_WORDS if tag == "article" else _boiler_name(x) for x in names)
-                article |= not boiler and any(x in ARTICLE_WORDS for x in names)
+                for x in value.split():
+                    bad, good = _name_marks(x)
+                    boiler |= x in COMMENT_WORDS if tag == "article" else bad
+                    article |= good
     return boiler, article and not boiler
 
 
@@ -210,6 +223,8 @@ def first_pass(b: _Block) -> bool | None:
     # In an article short links and long quotations are no list of links.
     if b.linked > ((0.9 if size < SHORT else 1.0) if b.inside else MOST_LINKS) * size:
         score -= 6
+    if not b.inside and size < SHORT and b.text.lower().startswith(("©", "copyright ")):
+        score -= 6
     score += 2 * (b.inside > 0 and size >= SHORT) - 9 * b.boiler
     if score < 0 or size >= SHORT and score == 0 and b.linked:
         return False
