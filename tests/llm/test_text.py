@@ -202,8 +202,8 @@ def test_names_are_read_whole():
         assert main_text(f"{open_tag}{long}</div></article><p>{long} again") == f"{long} again"
     assert main_text(f'<div class="content"><h2>Top</h2></div><div class="text">{long}</div>') == f"Top\n{long}"
     for open_tag in ("<div class='entry-content'>", "<div class=post-body>"):
-        page = f"{open_tag}<h1>T</h1><p>{long}</p></div><div class='post-comments'><p>{long}</p></div><p>{long[:80]}</p>"
-        assert main_text(page) == f"T\n{long}\n{long[:80]}"
+        page = f"{open_tag}<h1>T</h1><p>{long}</p></div><div class='post-comments'><p>{long}</p></div><p>{long[:79]}</p>"
+        assert main_text(page) == f"T\n{long}\n{long[:79]}"
     assert main_text(f"<p>{long}</p><p>Copyright 2020 by us</p>") == long
     tables = "<table><tr><td>" * 30 + long + "</td></tr></table>" * 30
     assert main_text(f"<article>{tables}<p>end</article>") == f"{long}\nend"
