@@ -21,6 +21,7 @@ from ledgerloom.functions import ed25519
 from ledgerloom.functions.canonical import canonical_hash, dumps
 from ledgerloom.functions.records import RECORD_COLUMNS, Record, Rules
 from ledgerloom.functions.schemas import SCHEMAS, Dialect
+from ledgerloom.operators import batteries
 from ledgerloom.operators.judge import Ledger
 from ledgerloom.operators.receipts import Limits, Queries, validate_receipts
 from ledgerloom.operators.relational import judge_logs, verify_logs
@@ -1119,6 +1120,26 @@ def verdicts(family: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _all_logs() -> dict[str, Script]:
+    return {f"{family}/{n}": s for family in CASES for n, s in _played(family).items()}
+
+
+def q_verdicts_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record of every script whose kind the relational rules cover, all logs at once."""
+    logs = _all_logs()
+    records = record_table(spark, {n: s.records for n, s in logs.items()})
+    rules = spark.createDataFrame([(n, dumps(s.rules.written()).decode()) for n, s in logs.items()], "log_id string, rules_json string")
+    last = [(n, len(s.records) - 2) for n, s in logs.items()]
+    asked = spark.createDataFrame(last, "log_id string, pos bigint")
+    return batteries.reasons(records, rules, DIALECT).join(asked, ["log_id", "pos"]).select(F.col("log_id").alias("name"), "result", "reason")
+
+
+def _relational_sql() -> str:
+    kinds = {n: s.records[-2].kind for n, s in _all_logs().items()}
+    rows = [(f"{f}/{n}", "Reject" if reason else "Accept", reason) for f, cases in CASES.items() for n, (_, reason, _) in cases.items()]
+    return _values([r for r in rows if kinds[r[0]] in batteries.COVERED], "name", "result", "reason")
+
+
 def _values(rows: list[tuple], *names: str) -> str:
     text = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     body = ",\n  ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
@@ -1383,6 +1404,7 @@ def q_named_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"verdicts_{f}": verdicts(f) for f in CASES} | {
+    "verdicts_relational": q_verdicts_relational,
     "verify_logs": q_verify_logs,
     "profiles": q_profiles,
     "receipts_malformed": q_receipts_malformed,
@@ -1391,6 +1413,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"verdicts_{f}":
 }
 
 ORACLE_SQL: dict[str, str] = {f"verdicts_{f}": verdicts_sql(f) for f in CASES} | {
+    "verdicts_relational": _relational_sql(),
     "verify_logs": _values([(n, "Reject" if reason else "Accept", reason, checked) for n, (reason, checked) in LOG_VERDICTS.items()], "name", "result", "reason", "checked").replace(
         "select *", "select name, result, reason, cast(checked as bigint) as checked"
     ),

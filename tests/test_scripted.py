@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
+from ledgerloom.functions.canonical import dumps
 from ledgerloom.functions.records import Record
+from ledgerloom.operators import batteries
 from ledgerloom.operators.relational import verify_logs
 from ledgerloom.plans import scratch, scripted
 from ledgerloom.sources import frames
@@ -21,6 +23,19 @@ def test_families_reach_most_reasons():
     assert len(reached) >= 24 and sum(map(len, scripted.CASES.values())) > 150
 
 
+def test_relational_rules_judge_every_record_alike(spark):
+    """All records of covered kinds, not only the scripts' last ones, against the sequential judge."""
+    logs = scripted._all_logs()
+    records = scripted.record_table(spark, {n: s.records for n, s in logs.items()})
+    rules = spark.createDataFrame([(n, dumps(s.rules.written()).decode()) for n, s in logs.items()], "log_id string, rules_json string")
+    got = {(r["log_id"], r["pos"]): r["reason"] for r in batteries.reasons(records, rules, scripted.DIALECT).collect()}
+    want = {
+        (name, pos): s.ledger.data(s.records[pos + 1])["reason"]
+        for name, s in logs.items() for pos in range(0, len(s.records), 2) if s.records[pos].kind in batteries.COVERED
+    }
+    assert got == want and len(want) > 250
+
+
 def test_signatures_survive_tables_and_files(spark, tmp_path):
     log = scripted._signed_log()
     rows = scripted.record_table(spark, {"a": log.records}).orderBy("pos").collect()
