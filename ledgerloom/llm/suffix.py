@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm import packs, spans
 from ledgerloom.llm.packs import groups, heads
@@ -58,6 +59,9 @@ def text_sum(text: Column) -> Column:
 
 
 def _rows(ids: np.ndarray, sums: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    """Runs in order, which packs better."""
+    order = np.lexsort((run, sums, ids))
+    ids, sums, run = ids[order], sums[order], run[order]
     return pa.RecordBatch.from_arrays(
         [pa.array(ids.astype(np.int64)), pa.array(sums.astype(np.int64)), pa.array(run.astype(np.int64))], ["doc_id", "sum", "run"]
     )
@@ -343,17 +347,18 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(ids[row[begin]], sums[row[begin]], _run(at[begin], count))
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``sum`` and ``text``, the first two never null.
+def with_key(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``sum`` and ``text``, the first two never null, and the columns ``keep``.
 
-    Without nulls Spark adds no filter under a join, so that all joins with the
-    texts share one exchange.  A null id becomes the least bigint; such rows
-    neither lose nor remove anything.
+    Without nulls Spark adds no filter under a join, so that joins of one query
+    with the texts share an exchange.  A null id becomes the least bigint; such
+    rows neither lose nor remove anything.
     """
     return docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
         text_sum(F.col(text_col)).alias("sum"),
         F.col(text_col).cast("string").alias("text"),
+        *keep,
     )
 
 
@@ -362,6 +367,8 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
 
     ``docs`` comes from :func:`with_key`.  Returns ``doc_id``, ``sum`` and
     ``run``: the byte offset of the first window times 256, plus their number.
+    Each step is written before the next begins, so that what one has shuffled
+    is off the disk by then.
     """
     if not GRAM < length < GRAM + 64:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 63}")
@@ -370,7 +377,7 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     entries = packs.exchanged(known.mapInArrow(_entries(length, buckets, CROWD), packs.PACKED), parts)
     first = materialize(entries.mapInArrow(_refine(length, buckets), _RUN), "runs")
     refine = F.col("run").bitwiseAND(128) > 0
-    return first.where(~refine).unionAll(refined(docs, first.where(refine), length))
+    return first.where(~refine).unionAll(materialize(refined(docs, first.where(refine), length), "refined"))
 
 
 def refined(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -401,6 +408,8 @@ def keep_mask(size: int, starts: np.ndarray, counts: np.ndarray, length: int) ->
 
 
 def _cut(length: int, as_text: bool):
+    """Results of (id, sum, text, runs, further columns), which stay last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
@@ -420,9 +429,9 @@ def _cut(length: int, as_text: bool):
                 out["n_bytes"].append(len(text))
                 out["n_removed"].append(int(len(text) - keep.sum()))
                 out["n_spans"].append(len(begin))
-                if as_text:  # every part by itself, or halves of two characters might make a third
+                if as_text and len(begin):  # every part by itself, or halves of two characters might make a third
                     edges = np.concatenate([[0], np.stack([begin, end], axis=1).ravel(), [len(text)]]).reshape(-1, 2)
-                    out["kept"].append("".join(text[a:b].tobytes().decode("utf-8", "ignore") for a, b in edges.tolist()))
+                    out["kept"].append("".join(text[a:b].tobytes().decode("utf-8", "ignore") for a, b in edges.tolist()).encode())
                 else:
                     out["kept"].append(text[keep].tobytes())
                 spans_out.append([{"start": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())])
@@ -431,15 +440,18 @@ def _cut(length: int, as_text: bool):
                     batch.column(0), batch.column(1),
                     *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")),
                     pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(out["kept"], pa.string() if as_text else pa.binary()),
+                    pa.array(out["kept"], pa.binary()).view(pa.string() if as_text else pa.binary()),
+                    *batch.columns[4:],
                 ],
-                ["doc_id", "sum", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
+                ["doc_id", "sum", "n_bytes", "n_removed", "n_spans", "spans", "kept", *batch.schema.names[4:]],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, as_text: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Each document without the bytes of strings that start in an earlier one.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a
@@ -447,7 +459,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents.  Returns a row for every row: ``doc_id``, ``sum``, ``n_bytes``,
     ``n_removed``, ``n_spans``, ``spans`` (removed runs, byte offsets) and
     ``kept`` (bytes; a cut may split a character, and ``as_text`` leaves the halves
-    out and gives a string).  Null and empty texts have no
+    out and gives a string).  The columns ``keep`` follow; their names are not among
+    those, nor ``text`` or ``runs``.  Null and empty texts have no
     bytes.  Rows of one id don't remove each other's bytes, and rows alike in
     id and text get the same result.  A row with a null id is kept whole and
     removes nothing.  Ids are integers.  An empty table gives an empty table.
@@ -456,12 +469,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits and the shuffled bucket (8 and more), or two hashes of 64 bits and a
     bucket, one of each half.
     """
-    base = with_key(docs, id_col, text_col)
-    runs = repeated_runs(base, length).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
-    joined = base.join(runs, ["doc_id", "sum"], "left").select("doc_id", "sum", "text", "runs")
-    cut = joined.mapInArrow(
-        _cut(length, as_text),
-        "doc_id bigint, sum bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, "
-        f"kept {'string' if as_text else 'binary'}",
-    )
+    runs = repeated_runs(with_key(docs, id_col, text_col), length).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("runs"))
+    base = with_key(docs, id_col, text_col, keep)
+    joined = base.join(runs, ["doc_id", "sum"], "left").select("doc_id", "sum", "text", "runs", *keep)
+    found = "doc_id bigint, sum bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, "
+    schema = StructType.fromDDL(found + f"kept {'string' if as_text else 'binary'}")
+    for name in keep:
+        schema.add(base.schema[name])
+    cut = joined.mapInArrow(_cut(length, as_text), schema)
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: dict[str, tuple[SparkSession, str]] = {}
+#: With this, Spark deletes a query's shuffle files as it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,11 +32,17 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    The table lives until :func:`release` or the end of the driver.
+    The table lives until :func:`release` or the end of the driver, the shuffle
+    files of its plan only until it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     _OPEN[path] = (spark, path)

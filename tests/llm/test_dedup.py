@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -176,6 +177,41 @@ def test_remove_repeated_bytes(spark, docs):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in remove_repeats(odd).collect()) == [(0, 0), (1, 0), (1, 0), (1, 0), (2, 55)]
 
 
+def test_shuffle_files_go_with_the_step_that_made_them(spark, docs):
+    from ledgerloom.plans import materialize
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = files()
+    table = materialize(spark.range(1000).repartition(7, "id"))
+    end = time.time() + 20
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    # Only the last step of the removal is left to run with the result.
+    plan = remove_repeats(docs[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1
+
+
+def test_runs_of_a_bucket_are_written_in_order():
+    import ledgerloom.llm.suffix as module
+
+    rows = module._rows(np.array([2, 1, 2, 1]), np.array([7, 7, 5, 7]), np.array([3, 9, 8, 4])).to_pydict()
+    assert list(zip(*rows.values())) == [(1, 7, 4), (1, 7, 9), (2, 5, 8), (2, 7, 3)]
+
+
+def test_remove_repeats_keeps_other_columns(spark):
+    rows = [(1, "q" * 60 + "é", "x", [1]), (2, "é" + "q" * 55, None, None), (2, None, "n", []), (None, "q" * 60, "u", [2, 3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, tags array<int>")
+    got = remove_repeats(df, as_text=True, keep=("lang", "tags"))
+    assert got.columns[-3:] == ["kept", "lang", "tags"] and dict(got.dtypes)["tags"] == "array<int>"
+    found = [(r["doc_id"], r["kept"], r["lang"], r["tags"], r["n_removed"]) for r in got.collect()]
+    want = [(1, "q" * 60 + "é", "x", [1], 0), (2, "é", None, None, 55), (2, "", "n", [], 0), (None, "q" * 60, "u", [2, 3], 0)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_remove_repeated_bytes_of_a_crowd_in_one_document(spark):
     rng = random.Random(12)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
