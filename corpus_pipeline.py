@@ -14,7 +14,7 @@ from ledgerloom.llm.decontaminate import decontaminate
 from ledgerloom.llm.langid import UNKNOWN, identify
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.simhash import similar_texts
-from ledgerloom.llm.suffix import NO_ID, remove_repeats, text_sum
+from ledgerloom.llm.suffix import remove_repeats
 from ledgerloom.plans import materialize
 
 #: A text goes if no language has this share of its words.
@@ -71,10 +71,10 @@ def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, names = plain(docs)
     doc_id, text = names["doc_id"], names["text"]
-    cut = remove_repeats(rows, doc_id, text, as_text=True).where("n_removed > 0")
-    cut = cut.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "sum", F.col("kept").alias("new")).dropDuplicates(["id", "sum"])
-    keyed = rows.withColumns({"id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), "sum": text_sum(F.col(text))})
-    out = keyed.join(cut, ["id", "sum"], "left").where("new is null or new <> ''").withColumn(text, F.coalesce("new", text))
+    others = tuple(c for c in names.values() if c != text)
+    cut = remove_repeats(rows.withColumn("none", F.isnull(text)), doc_id, text, as_text=True, keep=(*others, "none"))
+    # What was null comes back as "".
+    out = cut.where("kept <> '' or n_removed = 0").withColumn(text, F.when(~F.col("none"), F.col("kept")))
     if "n_chars" in names:
         out = out.withColumn(names["n_chars"], F.length(text).cast(dict(docs.dtypes)["n_chars"]))
     return given(out, names)

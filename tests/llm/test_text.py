@@ -279,3 +279,11 @@ def test_cut_texts_keep_their_characters(spark):
     rows = [(1, "\ufffd one " + shared, "en", "s", 1), (2, shared[3:30] + " two \ufffd\ufffd and é", "en", "s", 1), (3, shared, "en", "s", 1), (4, None, "en", "s", None)]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.span_dedup(spark, spark.createDataFrame(rows, docs.schema), DATA).collect()}
     assert got == {1: (rows[0][1], 46), 2: (" two \ufffd\ufffd and é", 13), 4: (None, None)}
+
+
+def test_span_dedup_joins_the_texts_once(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.span_dedup(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("MapInArrow") == 1
