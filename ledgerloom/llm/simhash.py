@@ -10,8 +10,9 @@ verified all the same), and the chain connects what the pairs would connect.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
+from ledgerloom.llm.packs import PACKED, exchanged
 from ledgerloom.plans import materialize, release
 
 SEED = 42
 #: Groups of more texts than this begin as stars.
-SMALL = 16
-#: Pairs at 0.8 or more differ in less than a fifth of their bits, unlike ones in half.
-FAR = 0.3
+SMALL = 2
+#: Sets of fewer shingles than FEW may differ in this share of their bits: what few shingles decide follows no square root.
+FAR, FEW = 1 / 3, 64
+#: Words of the fingerprints that buckets see.
+SKETCH = 2
+#: The place of a text in its batch, in the low bits of an entry.
+_AT = np.uint64((1 << 14) - 1)
 _DIGEST = xxhash.xxh64_intdigest
 
 
@@ -163,38 +169,55 @@ def _prints(shingle: int, words: int):
     return run
 
 
+def most_apart(bits: int, similarity: float) -> int:
+    """Bits of ``bits`` that sets of this similarity may differ in: five standard deviations above the mean.
+
+    A bit differs with the angle between the sets; sets of one size have the widest.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(p * bits + 5 * math.sqrt(p * (1 - p) * bits))
+
+
 def _planes(x: np.ndarray, kind: str) -> bytes:
     """Numbers byte by byte, which packs better."""
     return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _spread(tables: int, bits: int, half: int, split: int):
-    """Balls of all keys: one packed row a table and part of its variants."""
+def _spread(tables: int, bits: int, half: int, buckets: int):
+    """Balls of all keys: one packed row a bucket, which holds a share of every table's variants."""
     masks = np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(bits), k)], np.uint64)
 
-    def packed(mine: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> bytes:
-        used, index = np.unique(mine & np.uint64(0xFFFF), return_inverse=True)
+    def packed(parts: list[np.ndarray], node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> bytes:
+        mine = np.concatenate(parts)
+        used, index = np.unique(mine & _AT, return_inverse=True)
         used = used.astype(np.int64)
-        variant = (mine >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-        raw = _planes(np.diff(variant, prepend=np.uint64(0)), "<u4") + _planes(index, "<u2")
+        variant = ((mine >> np.uint64(14)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        raw = np.array([len(x) for x in parts], "<i4").tobytes()
+        raw += _planes(np.diff(variant, prepend=np.uint32(0)), "<u4") + _planes(index, "<u2")
         raw += _planes(np.diff(node[used], prepend=0), "<i8") + _planes(size[used], "<i4") + _planes(root[used] - node[used], "<i8")
-        return np.array([len(mine), len(used), len(raw)], "<i8").tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+        raw += sketch[used].T.tobytes()
+        head = np.array([len(mine), len(used), len(raw), tables, sketch.shape[1]], "<i8").tobytes()
+        return head + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1 << 14):
-                batch = whole.slice(low, 1 << 14)
+            for low in range(0, whole.num_rows, 1 << 13):
+                batch = whole.slice(low, 1 << 13)
                 node, size, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 words = np.asarray(batch.column(3).flatten()).view(np.uint64).reshape(len(node), -1)
-                rows = []
+                at = np.repeat(np.arange(len(node), dtype=np.uint64), len(masks))
+                entries, cuts = [], []
                 for t in range(tables):
                     key = (words[:, t // 2] >> np.uint64(32 * (t % 2))) & np.uint64((1 << bits) - 1)
                     variant = (key[:, None] ^ masks).ravel()
-                    part = ((variant * np.uint64(0x9E3779B1)) >> np.uint64(16)) % np.uint64(split)
-                    at = np.repeat(np.arange(len(node), dtype=np.uint64), len(masks))
-                    entry = np.sort((part << np.uint64(48)) | (variant << np.uint64(16)) | at)
-                    cuts = np.searchsorted(entry, np.arange(split + 1, dtype=np.uint64) << np.uint64(48))
-                    rows += [(t * split + p, packed(entry[cuts[p] : cuts[p + 1]], node, size, root)) for p in range(split) if cuts[p] < cuts[p + 1]]
+                    part = (((variant + np.uint64(t << 32)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+                    entries.append(np.sort((part << np.uint64(46)) | (variant << np.uint64(14)) | at))
+                    cuts.append(np.searchsorted(entries[-1], np.arange(buckets + 1, dtype=np.uint64) << np.uint64(46)).tolist())
+                rows = []
+                for p in range(buckets):
+                    parts = [e[c[p] : c[p + 1]] for e, c in zip(entries, cuts)]
+                    if any(map(len, parts)):
+                        rows.append((p, packed(parts, node, size, root, words[:, :SKETCH])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"]
                 )
@@ -203,10 +226,11 @@ def _spread(tables: int, bits: int, half: int, split: int):
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Variant, node, size and root of every entry."""
-    n, m, length = np.frombuffer(blob, "<i8", 3).tolist()
-    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[24:], length, asbytes=True), np.uint8)
-    at = 0
+    """Every table's entries, with variant and index, and every index's node, size, root and sketch."""
+    n, m, length, tables, width = np.frombuffer(blob, "<i8", 5).tolist()
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[40:], length, asbytes=True), np.uint8)
+    at = 4 * tables
+    counts = raw[:at].view("<i4").astype(np.int64)
 
     def take(count: int, kind: str) -> np.ndarray:
         nonlocal at
@@ -218,69 +242,92 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     variant, index = np.cumsum(take(n, "<u4"), dtype=np.uint32), take(n, "<u2")
     node = np.cumsum(take(m, "<i8"))
     size, root = take(m, "<i4"), take(m, "<i8") + node
-    return variant, node[index], size[index], root[index]
+    sketch = np.frombuffer(raw[at:].tobytes(), np.uint64).reshape(width, m).T
+    return counts, variant, index, node, size, root, sketch
 
 
-def _crossing(node: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The payloads of each bucket of sorted rows."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, found in groupby(rows, lambda row: row[0]):
+        yield [payload for _, payload in found]
+
+
+def _crossing(who: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one group that different components hold, some at a time."""
     names, where, counts = np.unique(root, return_inverse=True, return_counts=True)
     order = np.lexsort((where, counts[where]))  # the largest component last
-    node, size, where = node[order], size[order], where[order]
+    who, where = who[order], where[order]
     ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where))
     for begin, end in zip([0, *ends[:-2].tolist()], ends[:-1].tolist()):
-        rest = len(node) - end
+        rest = len(who) - end
         step = max(1, (1 << 20) // rest)
         for low in range(begin, end, step):
-            mine = np.arange(low, min(low + step, end))
-            left, right = np.repeat(mine, rest), np.tile(np.arange(end, len(node)), len(mine))
-            yield node[left], node[right], size[left], size[right]
+            mine = who[low : min(low + step, end)]
+            yield np.repeat(mine, rest), np.tile(who[end:], len(mine))
 
 
-def _meet(similarity: float, again: bool):
-    """Pairs ``a``, ``b`` that meet on a variant and whose sizes allow the similarity.
+def _meet(similarity: float, bits: int, again: bool):
+    """Pairs ``a``, ``b`` that meet on a variant and whose sizes and sketches allow the similarity.
 
     First, all pairs of a group of up to SMALL texts, and a star for a larger
     one, whose texts are also given as ``a`` alone.  ``again``: of the larger
-    groups, all pairs that the components do not join yet.
+    groups, all pairs that the components do not join yet.  A sketch is part of
+    the fingerprints; what its bits say, but for those of the key that a pair met
+    on, keeps most unlike pairs in the bucket.
     """
 
-    def fit(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
-        return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1)
-
     def pairs_of(blobs: list[bytes]) -> Iterator[np.ndarray]:
-        variant, node, size, root = (np.concatenate(x) for x in zip(*map(_unpacked, blobs)))
+        parts = [_unpacked(b) for b in blobs]
+        base = np.cumsum([0, *(len(p[3]) for p in parts)])
+        node, size, root, sketch = (np.concatenate([p[i] for p in parts]) for i in range(3, 7))
+        cuts = [np.cumsum([0, *p[0].tolist()]) for p in parts]
+        for t in range(len(parts[0][0])):
+            here = np.full(sketch.shape[1], ~np.uint64(0))
+            if t // 2 < len(here):
+                here[t // 2] ^= np.uint64(((1 << bits) - 1) << (32 * (t % 2)))
+            seen = int(np.bitwise_count(here).sum())
+            most, few = most_apart(seen, similarity), int(FAR * seen)
+
+            def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count((sketch[i] ^ sketch[j]) & here).sum(axis=1, dtype=np.int64)  # noqa: B023
+                ok = apart <= np.where(np.minimum(size[i], size[j]) < FEW, max(few, most), most)  # noqa: B023
+                a, b = node[i[ok]], node[j[ok]]
+                return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+            variant = np.concatenate([p[1][c[t] : c[t + 1]] for p, c in zip(parts, cuts)])
+            who = np.concatenate([p[2][c[t] : c[t + 1]].astype(np.int64) + low for p, c, low in zip(parts, cuts, base.tolist())])
+            if len(variant):
+                yield from groups_of(variant, who, node, root, fit)
+
+    def groups_of(variant: np.ndarray, who: np.ndarray, node: np.ndarray, root: np.ndarray, fit) -> Iterator[np.ndarray]:
         order = np.argsort(variant, kind="stable")
-        variant = variant[order]
+        variant, who = variant[order], who[order]
         at = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         counts = np.diff(np.append(at, len(variant)))
         held = np.repeat(counts, counts)
         crowd = held > SMALL
         if again:
             for low, n in zip(at[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
-                mine = order[low : low + n]
+                mine = who[low : low + n]
                 if (root[mine] != root[mine[0]]).any():
-                    for found in _crossing(node[mine], size[mine], root[mine]):
+                    for found in _crossing(mine, root[mine]):
                         yield fit(*found)
             return
         for lag in range(1, min(SMALL, int(counts.max()))):
             i = np.flatnonzero(~crowd[lag:] & (variant[lag:] == variant[:-lag]))
-            i, j = order[i], order[i + lag]
-            yield fit(node[i], node[j], size[i], size[j])
+            yield fit(who[i], who[i + lag])
         if crowd.any():
-            first = order[np.repeat(at, counts)[crowd]]
-            mine = order[crowd]
-            yield fit(node[first], node[mine], size[first], size[mine])
-            yield np.stack([node[mine], np.full(len(mine), -1)], axis=1)
+            yield fit(who[np.repeat(at, counts)[crowd]], who[crowd])
+            mine = node[who[crowd]]
+            yield np.stack([mine, np.full(len(mine), -1)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blobs.setdefault(b, []).append(blob)
-        for b in sorted(blobs):
+        for blobs in _buckets(batches):
             held, n = [], 0
-            for found in pairs_of(blobs.pop(b)):
+            for found in pairs_of(blobs):
                 held.append(found[found[:, 0] != found[:, 1]])
                 n += len(held[-1])
                 if n > 1 << 21:
@@ -321,11 +368,11 @@ def similar_texts(
         "nodes",
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = max(1, min(1 << 10, -(-4 * parts // tables)))
+    buckets = min(parts, 1 << 13)
 
     def meet(points: DataFrame, again: bool) -> DataFrame:
-        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, split), "bucket int, payload binary")
-        return packed.repartition(parts, "bucket").mapInArrow(_meet(similarity, again), "a bigint, b bigint").distinct()
+        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, buckets), PACKED)
+        return exchanged(packed, parts).mapInArrow(_meet(similarity, bits, again), "a bigint, b bigint").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,11 +384,11 @@ def similar_texts(
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda end, fps: nodes.select(F.col("node").alias(end), F.col("fps").alias(fps))
+        side = lambda end, fps: nodes.select(F.col("node").alias(end), F.col("fps").alias(fps), F.col("size").alias(f"{fps}_size"))
         apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        near = materialize(
-            pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart <= int(FAR * 32 * tables)).select("a", "b"), "links"
-        )
+        most = most_apart(32 * tables, similarity)
+        allowed = F.when(F.least("x_size", "y_size") < FEW, max(int(FAR * 32 * tables), most)).otherwise(most)
+        near = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart <= allowed).select("a", "b"), "links")
         ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
         wanted = nodes.join(ends, "node").select("node", "sum")
         texts = materialize(
@@ -388,7 +435,8 @@ def near_duplicates(
     0.8, so ``tables`` (an even number) fingerprints of ``bits`` bits each emit
     their balls of radius 1.  All pairs that meet in any of them are verified on
     the texts' whole shingle sets, unless components of verified pairs join
-    them already, or over FAR of all fingerprints' bits differ.  Found at a
+    them already, or more of their fingerprints' bits differ than five standard
+    deviations allow (with few shingles a third).  Found at a
     similarity of 0.8: about 99 %, at 0.9: over 99.99 %, for each pair by
     itself, if the sets are not very small.  Fingerprints are those of the distinct shingles, and texts
     whose sets have one 128-bit digest are one node.  Texts without words are

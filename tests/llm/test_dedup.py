@@ -132,6 +132,48 @@ def test_near_duplicates_meet_behind_unlike_texts(spark, monkeypatch):
         assert all(got[i] in (i, i & ~1) for i in got)
 
 
+def test_near_duplicates_join_few_unlike_pairs(spark, monkeypatch):
+    import ledgerloom.llm.simhash as module
+
+    rng = random.Random(18)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base = words(300)  # similarities of 0.53: a third of all pairs meet
+    rows = [(i, " ".join(base + words(128))) for i in range(240)]
+    rows += [(240, rows[7][1] + " and more"), (241, rows[9][1] + " and less")]
+    joined, real = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label="step": (out := real(df, label), label == "links" and joined.append(out.count()))[0])
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert {i: c for i, c in got.items() if c != i} == {240: 7, 241: 9}
+    assert sum(joined) < 1000
+    # Pairs at the similarity keep five standard deviations.
+    assert module.most_apart(768, 0.8) == 166 and module.most_apart(100, 0.8) == 33
+
+
+def test_texts_meet_in_buckets_of_many():
+    import pyarrow as pa
+
+    import ledgerloom.llm.simhash as module
+
+    n = 80_000  # more than 16 bits count
+    words = np.random.default_rng(3).integers(0, 1 << 63, (n, 2)).astype(np.uint64)
+    twins = np.arange(100, 40_000, 997)
+    words[n - 1 - twins] = words[twins] ^ np.uint64(1 << 5 | 1 << 40)
+    node = np.arange(n, dtype=np.int64)
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(node[a : a + 10_000]), pa.array(np.full(10_000, 300, np.int32)), pa.array(node[a : a + 10_000]),
+                                    pa.array(words[a : a + 10_000].view(np.int64).tolist())], ["node", "size", "root", "fps"])
+        for a in range(0, n, 10_000)
+    ]
+    spread = [b for b in module._spread(4, 28, 1, 2)(iter(batches))]
+    rows = sorted((r for b in spread for r in b.to_pylist()), key=lambda r: r["bucket"])
+    sent = pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("payload", pa.binary())]))
+    for again in (False, True):
+        found = {(r["a"], r["b"]) for b in module._meet(0.8, 28, again)(iter([sent])) for r in b.to_pylist()}
+        pairs = {p for p in found if p[1] >= 0}
+        want = {(int(i), int(n - 1 - i)) for i in twins}
+        assert (pairs >= want and len(pairs) < len(want) + 50) if not again else pairs <= want
+
+
 def test_near_duplicates_compare_sets_of_shingles(spark):
     rng = random.Random(9)
     words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
