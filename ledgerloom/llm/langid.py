@@ -30,6 +30,8 @@ from ledgerloom.llm.spans import U
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 4 << 20
 #: Numbers of an array of words by languages, about; texts are worked on in pieces of that.
 WORK = 1 << 21
+#: Bytes of texts that are read at a time to learn from them.
+READ = 1 << 18
 #: Hashed features; a power of two.
 WIDTH = 1 << 16
 #: Length of a training sequence, and the mean stretch of one language in it.
@@ -172,6 +174,33 @@ def posteriors(model: Model, scores: np.ndarray, offsets: np.ndarray) -> np.ndar
     return ahead / ahead.sum(axis=1, keepdims=True)
 
 
+def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all words of the texts as by :func:`word_features`, in few bytes each, and each text's number of words.
+
+    Some texts at a time, which bounds the driver's memory.
+    """
+    few = np.min_scalar_type(WIDTH - 1)
+    fixed, grams, counts, words = [np.empty((0, 6), few)], [np.empty(0, few)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    low = 0
+    while low < len(texts):
+        raw: list[bytes] = []
+        size = 0
+        while low < len(texts) and size < READ:
+            raw.append(texts[low].encode("utf-8", "replace"))
+            size += len(raw[-1])
+            low += 1
+        data = _lowered(np.frombuffer(b"".join(raw), np.uint8))
+        begin, end, offsets = words_of(data, np.cumsum([0, *map(len, raw)]))
+        words.append(np.diff(offsets))
+        for at in range(0, len(begin), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            one, gram, upto = word_features(*_window(data, begin[part], end[part]))
+            fixed.append(one.astype(few))
+            grams.append(gram.astype(few))
+            counts.append(np.diff(upto))
+    return np.concatenate(fixed), np.concatenate(grams), np.cumsum(np.concatenate([[0], *counts])), np.concatenate(words)
+
+
 def fit(texts: list[str], languages: list[str], rounds: int = 6, seed: int = 7) -> Model:
     """Learn a model from texts with one language each, by adaptive gradient steps."""
     names = sorted(set(languages))
@@ -180,12 +209,8 @@ def fit(texts: list[str], languages: list[str], rounds: int = 6, seed: int = 7)
     if k < 2:
         return model
     number = {name: i for i, name in enumerate(names)}
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
-    data = _lowered(np.frombuffer(b"".join(raw), np.uint8))
-    begin, end, offsets = words_of(data, bounds)
-    fixed, grams, upto = word_features(data, begin, end)
-    label = np.repeat([number[x] for x in languages], np.diff(offsets))
+    fixed, grams, upto, words = _read(texts)
+    label = np.repeat([number[x] for x in languages], words)
     # Stretches of words, put in random order and cut into sequences.
     rng = np.random.default_rng(seed)
     log_moves, log_starts = np.zeros((k, k)), np.zeros(k)

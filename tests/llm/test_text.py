@@ -106,6 +106,37 @@ def test_long_texts_go_in_pieces(monkeypatch):
     assert whole[0] == parts[0] and np.allclose(whole[1], parts[1]) and whole[0][-2:] == ["und", "und"]
 
 
+def test_learning_takes_little_memory():
+    import tracemalloc
+
+    texts = [" ".join(f"{a}{i * 7919 % 9973}" for i in range(j, j + 9000)) for j, a in enumerate(["ab", "ç", "xyz"] * 14)]
+    size = sum(len(t.encode()) for t in texts)
+    assert size > 2 << 20
+    tracemalloc.start()
+    try:
+        fit(texts, ["a", "b", "c"] * 14, rounds=0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * size
+
+
+def test_texts_read_in_blocks_have_the_same_features(monkeypatch):
+    import ledgerloom.llm.langid as module
+
+    texts = ["Ein Wort", "", "a", "   ", "1 2 3", "é ññ x9 " * 40, "one-very-long-word" * 30, "tail"]
+    whole = module._read(texts)
+    data = b"".join(t.encode() for t in texts)
+    begin, end, offsets = module.words_of(module._lowered(np.frombuffer(data, np.uint8)), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    plain = module.word_features(module._lowered(np.frombuffer(data, np.uint8)), begin, end)
+    for block in (1, 7, 1 << 20):
+        monkeypatch.setattr(module, "READ", block)
+        got = module._read(texts)
+        for a, b, c in zip(got, whole, (*plain, np.diff(offsets))):
+            assert np.array_equal(a, b) and np.array_equal(a, c)
+    assert [len(x) for x in module._read([])] == [0, 0, 1, 0]
+
+
 def test_every_language_of_the_sample_is_learned(spark):
     rows = [(i, f"w{i % 150}x lang{i % 150} of{i % 150}", f"l{i % 150:03}") for i in range(600)] + [(7, "w7x", "l007"), (7, "w7x", "l007"), (None, "w3x", "l003")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
