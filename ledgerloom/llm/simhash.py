@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, groupby
 
 import numpy as np
@@ -27,9 +28,9 @@ from ledgerloom.plans import materialize, release
 SEED = 42
 #: Groups of more texts than this begin as stars.
 SMALL = 2
-#: Sets of fewer shingles than FEW may differ in this share of their bits: what few shingles decide follows no square root.
-FAR, FEW = 1 / 3, 64
-#: Words of the fingerprints that buckets see.
+#: For sets of fewer shingles than this it is counted out how often a bit differs.
+FEW = 64
+#: Words of the fingerprints that buckets see, unless they hold only texts of larger groups.
 SKETCH = 2
 #: The place of a text in its batch, in the low bits of an entry.
 _AT = np.uint64((1 << 14) - 1)
@@ -174,20 +175,60 @@ def most_apart(bits: int, similarity: float) -> int:
 
     A bit differs with the angle between the sets; sets of one size have the widest.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return _within(math.acos(2 * similarity / (1 + similarity)) / math.pi, bits)
+
+
+def _within(p: float, bits: int) -> int:
     return int(p * bits + 5 * math.sqrt(p * (1 - p) * bits))
 
 
+def differing(a: int, b: int, both: int) -> float:
+    """How likely a bit differs between sets of ``a`` and ``b`` shingles with ``both`` in common."""
+
+    def set_given(ones: int, n: int) -> float:
+        rest = n - both
+        return sum(math.comb(rest, y) for y in range(rest + 1) if 2 * (ones + y) > n) / 2**rest
+
+    found = 0.0
+    for ones in range(both + 1):
+        x, y = set_given(ones, a), set_given(ones, b)
+        found += math.comb(both, ones) / 2**both * (x * (1 - y) + y * (1 - x))
+    return found
+
+
+@cache
+def limits(bits: int, similarity: float) -> tuple[int, ...]:
+    """As :func:`most_apart` by the smaller set's size, for all sizes from FEW on the last.
+
+    The least overlap that allows the similarity differs most: each common
+    shingle pulls both majorities the same way.
+    """
+    return tuple(_within(p, bits) for p in _chances(similarity)) + (most_apart(bits, similarity),)
+
+
+@cache
+def _chances(similarity: float) -> tuple[float, ...]:
+    wide = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    out = [0.0]
+    for a in range(1, FEW):
+        least = [(b, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)) for b in range(a, int(a / similarity + 1e-9) + 1)]
+        out.append(max(wide, *(differing(a, b, both) for b, both in least)))
+    return tuple(out)
+
+
 def _planes(x: np.ndarray, kind: str) -> bytes:
     """Numbers byte by byte, which packs better."""
     return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _spread(tables: int, bits: int, half: int, buckets: int):
-    """Balls of all keys: one packed row a bucket, which holds a share of every table's variants."""
+def _spread(tables: int, bits: int, half: int, buckets: int, sketch: int = SKETCH):
+    """Balls of all keys: one packed row a bucket, which holds a share of every table's variants.
+
+    ``sketch``: words of the fingerprints that go along.
+    """
     masks = np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(bits), k)], np.uint64)
 
-    def packed(parts: list[np.ndarray], node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> bytes:
+    def packed(parts: list[np.ndarray], node: np.ndarray, size: np.ndarray, root: np.ndarray, seen: np.ndarray) -> bytes:
         mine = np.concatenate(parts)
         used, index = np.unique(mine & _AT, return_inverse=True)
         used = used.astype(np.int64)
@@ -195,8 +236,8 @@ def _spread(tables: int, bits: int, half: int, buckets: int):
         raw = np.array([len(x) for x in parts], "<i4").tobytes()
         raw += _planes(np.diff(variant, prepend=np.uint32(0)), "<u4") + _planes(index, "<u2")
         raw += _planes(np.diff(node[used], prepend=0), "<i8") + _planes(size[used], "<i4") + _planes(root[used] - node[used], "<i8")
-        raw += sketch[used].T.tobytes()
-        head = np.array([len(mine), len(used), len(raw), tables, sketch.shape[1]], "<i8").tobytes()
+        raw += seen[used].T.tobytes()
+        head = np.array([len(mine), len(used), len(raw), tables, seen.shape[1]], "<i8").tobytes()
         return head + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +258,7 @@ def _spread(tables: int, bits: int, half: int, buckets: int):
                 for p in range(buckets):
                     parts = [e[c[p] : c[p + 1]] for e, c in zip(entries, cuts)]
                     if any(map(len, parts)):
-                        rows.append((p, packed(parts, node, size, root, words[:, :SKETCH])))
+                        rows.append((p, packed(parts, node, size, root, words[:, :sketch])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"]
                 )
@@ -286,14 +327,13 @@ def _meet(similarity: float, bits: int, again: bool):
             here = np.full(sketch.shape[1], ~np.uint64(0))
             if t // 2 < len(here):
                 here[t // 2] ^= np.uint64(((1 << bits) - 1) << (32 * (t % 2)))
-            seen = int(np.bitwise_count(here).sum())
-            most, few = most_apart(seen, similarity), int(FAR * seen)
+            allowed = np.array(limits(int(np.bitwise_count(here).sum()), similarity))
 
             def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 ok = np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
                 i, j = i[ok], j[ok]
                 apart = np.bitwise_count((sketch[i] ^ sketch[j]) & here).sum(axis=1, dtype=np.int64)  # noqa: B023
-                ok = apart <= np.where(np.minimum(size[i], size[j]) < FEW, max(few, most), most)  # noqa: B023
+                ok = apart <= allowed[np.minimum(np.minimum(size[i], size[j]), FEW)]  # noqa: B023
                 a, b = node[i[ok]], node[j[ok]]
                 return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
@@ -303,7 +343,7 @@ def _meet(similarity: float, bits: int, again: bool):
                 yield from groups_of(variant, who, node, root, fit)
 
     def groups_of(variant: np.ndarray, who: np.ndarray, node: np.ndarray, root: np.ndarray, fit) -> Iterator[np.ndarray]:
-        order = np.argsort(variant, kind="stable")
+        order = np.lexsort((node[who], variant))  # the centre of a star is the same in all buckets
         variant, who = variant[order], who[order]
         at = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]]))
         counts = np.diff(np.append(at, len(variant)))
@@ -371,7 +411,7 @@ def similar_texts(
     buckets = min(parts, 1 << 13)
 
     def meet(points: DataFrame, again: bool) -> DataFrame:
-        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, buckets), PACKED)
+        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, buckets, tables // 2 if again else SKETCH), PACKED)
         return exchanged(packed, parts).mapInArrow(_meet(similarity, bits, again), "a bigint, b bigint").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,8 +426,7 @@ def similar_texts(
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda end, fps: nodes.select(F.col("node").alias(end), F.col("fps").alias(fps), F.col("size").alias(f"{fps}_size"))
         apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-        most = most_apart(32 * tables, similarity)
-        allowed = F.when(F.least("x_size", "y_size") < FEW, max(int(FAR * 32 * tables), most)).otherwise(most)
+        allowed = F.array(*map(F.lit, limits(32 * tables, similarity)))[F.least("x_size", "y_size", F.lit(FEW))]
         near = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(apart <= allowed).select("a", "b"), "links")
         ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
         wanted = nodes.join(ends, "node").select("node", "sum")
@@ -436,7 +475,7 @@ def near_duplicates(
     their balls of radius 1.  All pairs that meet in any of them are verified on
     the texts' whole shingle sets, unless components of verified pairs join
     them already, or more of their fingerprints' bits differ than five standard
-    deviations allow (with few shingles a third).  Found at a
+    deviations allow (of what is counted out for sets of few shingles).  Found at a
     similarity of 0.8: about 99 %, at 0.9: over 99.99 %, for each pair by
     itself, if the sets are not very small.  Fingerprints are those of the distinct shingles, and texts
     whose sets have one 128-bit digest are one node.  Texts without words are

@@ -149,6 +149,43 @@ def test_near_duplicates_join_few_unlike_pairs(spark, monkeypatch):
     assert module.most_apart(768, 0.8) == 166 and module.most_apart(100, 0.8) == 33
 
 
+def test_near_duplicates_join_few_unlike_pairs_of_few_shingles(spark, monkeypatch):
+    import ledgerloom.llm.simhash as module
+
+    rng = random.Random(28)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base = words(30)  # 26 of 44 shingles, a similarity of 0.42
+    rows = [(i, " ".join(base + words(18))) for i in range(240)]
+    rows += [(240, rows[7][1] + " and more"), (241, rows[9][1] + " and less")]
+    joined, real = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label="step": (out := real(df, label), label == "links" and joined.append(out.count()))[0])
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert {i: c for i, c in got.items() if c != i} == {240: 7, 241: 9}
+    assert sum(joined) < 100
+
+
+def test_how_often_a_bit_differs_between_sets_of_few_shingles():
+    import itertools
+
+    import ledgerloom.llm.simhash as module
+
+    for a, b, both in ((4, 5, 4), (5, 5, 3), (3, 6, 2), (2, 3, 0)):
+        apart = 0
+        for bits in itertools.product((0, 1), repeat=a + b - both):
+            x, y = bits[:a], bits[a - both :]
+            apart += (2 * sum(x) > a) != (2 * sum(y) > b)
+        assert module.differing(a, b, both) == pytest.approx(apart / 2 ** (a + b - both))
+    allowed = module.limits(768, 0.8)
+    assert len(allowed) == module.FEW + 1 and min(allowed[1:]) == allowed[-1] == module.most_apart(768, 0.8)
+    rng = np.random.default_rng(4)
+    for a, b, both in ((4, 5, 4), (13, 13, 12), (22, 23, 20), (50, 60, 49)):  # the least overlaps at 0.8
+        assert 0.8 <= both / (a + b - both) < 0.86
+        for _ in range(100):
+            x = rng.integers(0, 1 << 63, a + b - both).astype(np.uint64)
+            found = int(np.bitwise_count(module.majorities(x[:a], 12) ^ module.majorities(x[a - both :], 12)).sum())
+            assert found <= allowed[min(a, b)]
+
+
 def test_texts_meet_in_buckets_of_many():
     import pyarrow as pa
 
