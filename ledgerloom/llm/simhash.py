@@ -30,8 +30,8 @@ SEED = 42
 SMALL = 2
 #: For sets of fewer shingles than this it is counted out how often a bit differs.
 FEW = 64
-#: Words of the fingerprints that buckets see, unless they hold only texts of larger groups.
-SKETCH = 2
+#: Words of the fingerprints that buckets see, in the first round and in the second, of only the texts of larger groups.
+SKETCH, AGAIN = 2, 4
 #: The place of a text in its batch, in the low bits of an entry.
 _AT = np.uint64((1 << 14) - 1)
 _DIGEST = xxhash.xxh64_intdigest
@@ -411,7 +411,7 @@ def similar_texts(
     buckets = min(parts, 1 << 13)
 
     def meet(points: DataFrame, again: bool) -> DataFrame:
-        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, buckets, tables // 2 if again else SKETCH), PACKED)
+        packed = points.select("node", "size", "root", "fps").mapInArrow(_spread(tables, bits, 1, buckets, AGAIN if again else SKETCH), PACKED)
         return exchanged(packed, parts).mapInArrow(_meet(similarity, bits, again), "a bigint, b bigint").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
